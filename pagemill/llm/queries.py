@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, near_dedup, packing, suffix_dedup
+from . import exact_dedup, langid, near_dedup, packing, suffix_dedup, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_repeats(table(spark, sf_dir, "documents"))
 
