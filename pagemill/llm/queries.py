@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, license_scan, near_dedup, packing, sp_codec, suffix_dedup, toxicity
+from . import exact_dedup, langid, license_scan, near_dedup, packing, sp_codec, suffix_dedup, toxicity, warc_zip
 from .common import table
 
 
@@ -40,5 +40,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_docs(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

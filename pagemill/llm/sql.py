@@ -9,6 +9,8 @@ FROM g JOIN w ON g.d = w.d
 WHERE g.n - CASE WHEN g.doc_id IS NOT DISTINCT FROM w.kept_doc_id THEN 1 ELSE 0 END > 0
 """
 
+OP10 = "SELECT page_id, url, html FROM pages"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2}
+    return {"op2_exact_dedup": OP2, "op10_warc_zip": OP10}
