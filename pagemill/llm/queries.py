@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, license_scan, near_dedup, packing, sp_codec, suffix_dedup, toxicity, warc_zip
+from . import ann, exact_dedup, langid, license_scan, near_dedup, packing, sp_codec, suffix_dedup, toxicity, warc_zip
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.notices(table(spark, sf_dir, "documents"))
 
