@@ -57,6 +57,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 250_000
+
+
+def bounded(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has at most ``most`` rows; a larger one is left to a shuffle."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if most is None else most) else table
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without making Python strings; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, stored
+from .common import bounded, fresh, mix64, stored
 
 INDEX_SCHEMA = "shard int, n long, sizes array<long>, bits binary, slots binary, locators binary, valid binary"
 PER_SHARD = 200_000
@@ -97,7 +97,7 @@ def _lookup_shard(key: tuple, asked: pa.Table, index: pa.Table) -> pa.Table:
         member = (at >= 0) & (slots[at] == digests).all(axis=1)
         winner = np.frombuffer(row["locators"], np.int64)[at]
         valid = np.frombuffer(row["valid"], bool)[at] & member
-    out = asked.select(["digest", "n", "least"])
+    out = asked.select(["digest", "n", "least", "again"])
     return out.append_column("member", pa.array(member)).append_column("winner", pa.array(winner, mask=~valid))
 
 
@@ -106,7 +106,11 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
-    return _digests(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    """(digest, n, doc_id, again): rows of a text, their smallest doc_id, and whether several rows have that one."""
+    each = _digests(docs).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows"))
+    found = each.groupBy("digest").agg(F.sum("rows").alias("n"), least.alias("least"))
+    return found.select("digest", "n", F.col("least.doc_id").alias("doc_id"), (F.col("least.rows") > 1).alias("again"))
 
 
 def _shard(shards: int):
@@ -122,21 +126,21 @@ def build_index(history: DataFrame, per_shard: int = PER_SHARD) -> tuple[DataFra
 
 
 def lookup(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """(digest, n, least, member, winner) of each distinct digest of ``docs``: n rows have it, least is their smallest doc_id; a nonmember's winner is null."""
-    asked = _distinct(docs).withColumnRenamed("doc_id", "least").select(_shard(shards), "digest", "n", "least")
-    schema = "digest binary, n long, least long, member boolean, winner long"
+    """(digest, n, least, again, member, winner) of each distinct digest of ``docs``: n rows have it, least is their smallest doc_id (again: of several rows); a nonmember's winner is null."""
+    asked = _distinct(docs).withColumnRenamed("doc_id", "least").select(_shard(shards), "digest", "n", "least", "again")
+    schema = "digest binary, n long, least long, again boolean, member boolean, winner long"
     return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_lookup_shard, schema)
 
 
 def winners(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(digest, member, winner) of the digests that lose a row: those with a winner in the history, and repeated ones that aren't in it, which take their own smallest doc_id.
+    """(digest, member, winner, again) of the digests that lose a row: those with a winner in the history, and repeated ones that aren't in it, which take their own smallest doc_id.
 
     Without a history the table is its own: every digest is a member, and its winner is one of its rows.
     """
     index, shards = build_index(docs if history is None else history)
     found = lookup(docs, index, shards).filter(F.col("member") | (F.col("n") > 1))
     own = F.lit(history is not None) & F.col("member")
-    return found.filter(own | (F.col("n") > 1)).select("digest", own.alias("member"), F.when(F.col("member"), F.col("winner")).otherwise(F.col("least")).alias("winner"))
+    return found.filter(own | (F.col("n") > 1)).select("digest", own.alias("member"), F.when(F.col("member"), F.col("winner")).otherwise(F.col("least")).alias("winner"), "again")
 
 
 def exact_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -149,8 +153,11 @@ def exact_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFram
 def drop_exact_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """``docs``, all columns, without the rows that exact_repeats counts."""
     key, mark = fresh(docs, "pm_digest"), fresh(docs, "pm_winner")
-    lost = winners(docs, history).select(F.col("digest").alias(key), F.struct("member", "winner").alias(mark))
+    found = stored(winners(docs, history))
+    lost = bounded(found.select(F.col("digest").alias(key), F.struct("member", "winner", "again").alias(mark)))
     joined = docs.withColumn(key, F.unhex(F.sha2(F.col("text").cast("string"), 256))).join(lost, key, "left")
-    plain = joined.filter(F.col(mark).isNull()).select(*docs.columns)
-    first = joined.filter(F.col(mark).isNotNull() & ~F.col(f"{mark}.member") & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}.winner")))
-    return plain.unionByName(first.dropDuplicates([key]).select(*docs.columns))
+    first = ~F.col(f"{mark}.member") & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}.winner"))
+    out = joined.filter(F.col(mark).isNull() | (first & ~F.col(f"{mark}.again"))).select(*docs.columns)
+    if found.filter("again and not member").isEmpty():
+        return out
+    return out.unionByName(joined.filter(first & F.col(f"{mark}.again")).dropDuplicates([key]).select(*docs.columns))

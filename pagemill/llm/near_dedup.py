@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, fold_case, fresh, prefix_hash, row_chunks, span_hash, stored, text_bytes, word_spans
+from .common import bounded, doc_columns, fold_case, fresh, prefix_hash, row_chunks, span_hash, stored, text_bytes, word_spans
 from .components import components
 
 SHINGLE, BUCKETS, MANTISSA, ROWS = 3, 128, 10, 3
@@ -220,10 +220,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK)
     paired = tested.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
     likely = stored(paired.mapInArrow(_estimated(threshold - slack), "a long, b long"))
 
+    # the texts of all that share a bucket, gathered once for both rounds
+    asked = bounded(stored(members.select("node").distinct().join(texts.select("node", "digest"), "node")))
+    found = doc_columns(docs).filter("text is not null").select(_digest("text").alias("digest"), "text").join(asked, "digest").dropDuplicates(["node"])
+    held = stored(found.select("node", "text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "digest"), "node")
-        found = doc_columns(docs).filter("text is not null").select(_digest("text").alias("digest"), "text").join(asked, "digest").dropDuplicates(["node"])
-        held = stored(found.select("node", "text"))
         side = lambda c: held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_verified(threshold), "a long, b long"))
@@ -254,10 +256,13 @@ def near_repeats(docs: DataFrame, threshold: float = THRESHOLD, slack: float = S
 def drop_near_repeats(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
     """``docs``, all columns, with one row of each group."""
     key, id_, kept = fresh(docs, "pm_digest"), fresh(docs, "pm_id"), fresh(docs, "pm_kept")
-    marks = stored(groups(docs, threshold, slack)).select(F.col("digest").alias(key), F.col("doc_id").alias(id_), F.col("kept").alias(kept))
+    # what goes, and what stays of several equal rows; all else has no mark
+    found = stored(groups(docs, threshold, slack).filter(~F.col("kept") | (F.col("n_rows") > 1)))
+    marks = bounded(found.select(F.col("digest").alias(key), F.col("doc_id").alias(id_), F.col("kept").alias(kept)))
     keyed = docs.withColumn(key, _digest(F.col("text").cast("string"))).withColumn(id_, F.col("doc_id").cast("long"))
     match = (keyed[key] == marks[key]) & keyed[id_].eqNullSafe(marks[id_])
     joined = keyed.join(marks, match, "left").select(*[keyed[c] for c in keyed.columns], marks[kept])
-    single = joined.filter(F.col(kept).isNull()).select(*docs.columns)
-    first = joined.filter(F.col(kept)).dropDuplicates([key, id_]).select(*docs.columns)
-    return single.unionByName(first)
+    out = joined.filter(F.col(kept).isNull()).select(*docs.columns)
+    if found.filter("kept").isEmpty():
+        return out
+    return out.unionByName(joined.filter(F.col(kept)).dropDuplicates([key, id_]).select(*docs.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, fresh, prefix_hash, row_chunks, space_mask, span_hash, stored, text_bytes
+from .common import bounded, doc_columns, fresh, prefix_hash, row_chunks, space_mask, span_hash, stored, text_bytes
 from .suffix_array import permuted_lcp, suffix_array
 
 MIN_BYTES, MIN_WORDS, GRAM = 128, 50, 32
@@ -359,7 +359,8 @@ def _without(text: Column, spans: Column) -> Column:
 def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns and rows, with the texts less their repeated spans."""
     uid, cut = fresh(docs, "pm_uid"), fresh(docs, "pm_spans")
-    spans = stored(repeated_spans(docs, min_words).select(F.col("uid").alias(uid), F.struct("start", "end").alias(cut))).groupBy(uid).agg(F.collect_list(cut).alias(cut))
+    spans = repeated_spans(docs, min_words).groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("start", "end")).alias(cut))
+    spans = bounded(stored(spans))
     keyed = docs.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     joined = keyed.join(spans, uid, "left")
     text = F.when(F.col(cut).isNull(), F.col("text").cast("string")).otherwise(_without(F.col("text").cast("string"), F.col(cut))).cast(docs.schema["text"].dataType)
