@@ -3,10 +3,12 @@
 Vectors are clustered over the whole table by rounds of k-means in which full lists get dearer, so that posting
 lists stay of about ``LIST_SIZE`` vectors. A vector near a boundary is kept in up to ``COPIES`` lists: those of
 the nearest centroids that aren't more than ``1 + COPY_RATIO`` times as far as the nearest. Centroids sit in memory in a
-graph of their nearest neighbours, searched best-first for a block of queries at once; of the lists found, those
-within ``1 + PROBE_RATIO`` times the distance of the nearest centroid are read, however many these are, and the
-``LEAST_LISTS`` nearest in any case. Lists are dealt to
-shards, neighbouring ones together; a query goes once to each shard that holds a list of its.
+graph of their nearest neighbours, searched best-first for a block of queries at once (all are looked at if the
+search would open about as many); of the lists found, those within ``1 + PROBE_RATIO`` times the distance of the
+nearest centroid are read, however many these are, and a least number of nearest ones in any case. That number is
+the table's own: ``SAMPLE`` rows are compared to all vectors, and from ``LEAST_LISTS`` on it grows until the lists
+read hold ``RECALL + MARGIN`` of their k nearest, with all lists as its end. Lists are dealt to shards,
+neighbouring ones together; a query goes once to each shard that holds a list of its.
 
 Centroids are the one thing every executor holds: ``rows / LIST_SIZE`` of them, and at most ``MOST_LISTS``, beyond which
 lists get longer instead.
@@ -33,6 +35,7 @@ K, LIST_SIZE, COPIES, COPY_RATIO, PROBE_RATIO = 10, 128, 4, 0.3, 0.1
 MOST_LISTS, DEGREE, ROUNDS, PRICE = 1 << 20, 24, 5, 0.03
 SHARD_ROWS = 40_000
 BEAM, BLOCK, LEAST_LISTS = 32, 256, 4
+RECALL, MARGIN, SAMPLE, SAMPLE_BLOCK = 0.9, 0.03, 256, 32
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,8 +67,10 @@ def search_graph(queries: np.ndarray, centroids: np.ndarray, graph: np.ndarray,
     found = np.full((b, n), np.inf, np.float32)
     closed = np.zeros((b, n), bool)
     start = np.unique(np.linspace(0, n - 1, min(n, BEAM)).astype(np.int64))
-    found[:, start] = np.sqrt(distances(queries, centroids[start]))
     live = np.arange(b)
+    if least * graph.shape[1] >= n:  # the search would look at about all of them
+        start, live = np.arange(n), live[:0]
+    found[:, start] = np.sqrt(distances(queries, centroids[start]))
     while len(live):
         mine = found[live]
         nearest = mine.min(axis=1)
@@ -184,6 +189,66 @@ def list_order(centroids: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _posted(x: np.ndarray, centroids: np.ndarray, graph: np.ndarray, copies: int, copy_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, list) of the lists that each vector is kept in."""
+    q, at, d = search_graph(x, centroids, graph, copies, 0.0)
+    order = np.lexsort((at, d, q))
+    q, at, d = q[order], at[order], d[order]
+    head = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    size = np.diff(np.append(head, len(q)))
+    good = (np.arange(len(q)) - np.repeat(head, size) < copies) & (d <= (1 + copy_ratio) * np.repeat(d[head], size))
+    return q[good], at[good]
+
+
+def _exact(vectors: DataFrame, q_rows: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
+    """(q, vector) of the k nearest others of each of a few queries, by comparison to all vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast((q_rows, queries))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shared.value
+        best, other = np.full((len(asked), k), np.inf, np.float32), np.full((len(asked), k), -1, np.int64)
+        for batch in batches:
+            rows, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for i in range(0, len(x), 4096):
+                some = rows[i : i + 4096]
+                d = distances(asked, x[i : i + 4096])
+                d[own[:, None] == some] = np.inf
+                d = np.concatenate([best, d], axis=1)
+                who = np.concatenate([other, np.broadcast_to(some, (len(asked), len(some)))], axis=1)
+                take = np.argpartition(d, k - 1, axis=1)[:, :k]
+                best, other = np.take_along_axis(d, take, 1), np.take_along_axis(who, take, 1)
+        q, p = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(other[q, p]), pa.array(best[q, p])], ["q", "row", "distance"])
+
+    w = Window.partitionBy("q").orderBy("distance", "row")
+    found = vectors.select("row", "vector").mapInArrow(near, "q int, row long, distance float").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return vectors.join(F.broadcast(found.select("q", "row")), "row").select("q", "vector").toArrow()
+
+
+def least_lists(vectors: DataFrame, k: int, centroids: np.ndarray, graph: np.ndarray, copies: int, copy_ratio: float, probe_ratio: float) -> int:
+    """How many nearest lists every query must read at least, so that a sample finds RECALL + MARGIN of its true neighbours."""
+    n, least = len(centroids), LEAST_LISTS
+    if least >= n:
+        return n
+    # another order than that of the first centroids
+    asked = vectors.select("row", "vector").orderBy(F.xxhash64("row", F.lit(1)), "row").limit(SAMPLE).toArrow()
+    queries = _matrix(asked["vector"].combine_chunks())
+    true = _exact(vectors, asked["row"].to_numpy(), queries, k)
+    x, of = _matrix(true["vector"].combine_chunks()), true["q"].to_numpy().astype(np.int64)
+    held = [_posted(x[i : i + SAMPLE_BLOCK], centroids, graph, copies, copy_ratio) for i in range(0, len(x), SAMPLE_BLOCK)]
+    which = np.concatenate([i * SAMPLE_BLOCK + p for i, (p, _) in enumerate(held)])
+    pair = of[which] * n + np.concatenate([at for _, at in held])
+    while least < n:
+        read = []
+        for i in range(0, len(queries), SAMPLE_BLOCK):
+            q, c, _ = search_graph(queries[i : i + SAMPLE_BLOCK], centroids, graph, least, probe_ratio)
+            read.append((i + q) * n + c)
+        if len(np.unique(which[np.isin(pair, np.concatenate(read))])) >= (RECALL + MARGIN) * len(x):
+            break
+        least = min(n, least + max(1, least // 4))
+    return least
+
+
 POSTED = "shard int, list int, row long, vec_id long, vector binary"
 ASKED = "shard int, row long, lists binary, vector binary"
 FOUND = "row long, neighbor_row long, neighbor_id long, distance float"
@@ -249,20 +314,16 @@ def neighbours(embeddings: DataFrame, k: int = K, list_size: int = LIST_SIZE, co
     shards = max(1, -(-n * copies // SHARD_ROWS))
     shard_of = np.zeros(len(centroids), np.int64)
     shard_of[list_order(centroids)] = np.arange(len(centroids)) * shards // len(centroids)
-    shared = spark.sparkContext.broadcast((centroids, centroid_graph(centroids), shard_of))
+    graph = centroid_graph(centroids)
+    least = least_lists(vectors, k, centroids, graph, copies, copy_ratio, probe_ratio)
+    shared = spark.sparkContext.broadcast((centroids, graph, shard_of))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, g, shard = shared.value
         for batch in batches:
             x = _matrix(batch.column(2))
             for i in range(0, len(x), BLOCK):
-                q, at, d = search_graph(x[i : i + BLOCK], c, g, copies, 0.0)
-                order = np.lexsort((at, d, q))
-                q, at, d = q[order], at[order], d[order]
-                head = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-                size = np.diff(np.append(head, len(q)))
-                good = (np.arange(len(q)) - np.repeat(head, size) < copies) & (d <= (1 + copy_ratio) * np.repeat(d[head], size))
-                q, at = q[good], at[good]
+                q, at = _posted(x[i : i + BLOCK], c, g, copies, copy_ratio)
                 some = batch.take(pa.array(i + q))
                 yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array(at, pa.int32()), *some.columns], ["shard", "list", "row", "vec_id", "vector"])
 
@@ -271,7 +332,7 @@ def neighbours(embeddings: DataFrame, k: int = K, list_size: int = LIST_SIZE, co
         for batch in batches:
             x = _matrix(batch.column(2))
             for i in range(0, len(x), BLOCK):
-                q, at, _ = search_graph(x[i : i + BLOCK], c, g, LEAST_LISTS, probe_ratio)
+                q, at, _ = search_graph(x[i : i + BLOCK], c, g, least, probe_ratio)
                 order = np.lexsort((at, shard[at], q))
                 q, at = q[order], at[order].astype(np.int32)
                 head = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (shard[at][1:] != shard[at][:-1])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,24 @@ def test_neighbours_recall_of_the_query(spark):
     assert (got.vec_id != got.neighbor_id).all()
 
 
+def test_neighbours_recall_on_a_larger_unstructured_table(spark, tmp_path):
+    rng = np.random.default_rng(60_000)
+    x = rng.standard_normal((60_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    for k in range(4):
+        part = slice(k * 15_000, (k + 1) * 15_000)
+        pq.write_table(pa.table({"vec_id": np.arange(60_000)[part], "embedding": flat[part]}), tmp_path / f"{k}.parquet")
+    asked = rng.choice(len(x), 300, replace=False)
+    d = ann.distances(x[asked], x)
+    d[np.arange(300), asked] = np.inf
+    cut = dict(zip(asked.tolist(), np.sqrt(np.partition(d, 9, axis=1)[:, 9]), strict=True))
+    assert len(x) // ann.LIST_SIZE > ann.BEAM
+    got = ann.neighbours(spark.read.parquet(str(tmp_path))).filter(F.col("vec_id").isin(asked.tolist())).collect()
+    assert len(got) == 3000
+    assert sum(r.distance <= cut[r.vec_id] * (1 + 1e-4) for r in got) / 3000 >= 0.9
+
+
 def test_neighbours_edge_cases(spark):
     v = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [0.0, 1.0]), (None, [5.0, 5.0]), (3, None), (4, []), (5, [1.0, None]), (6, [1.0]), (7, [float("nan"), 0.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("row", F.lit("x")).withColumn("vector", F.lit(1))
