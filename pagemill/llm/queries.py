@@ -41,7 +41,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.encode_docs(table(spark, sf_dir, "documents"))
+    return sp_codec.encode_docs(table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,11 +184,17 @@ def encode(proto: bytes, blob: bytes, data: np.ndarray, offsets: np.ndarray) ->
     return ids, starts.astype(np.int32), ends.astype(np.int32), token_offs
 
 
+def decode(proto: bytes, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The normalised texts of ids; ``offsets`` are those of the texts in them."""
+    sp, _ = _model(proto)
+    return [sp.decode(ids[a:b].tolist()) for a, b in itertools.pairwise(offsets.tolist())]
+
+
 ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
 
 
-def encode_docs(docs: DataFrame, model: str = MODEL, rule: str | None = RULE) -> DataFrame:
-    """(doc_id, ids, starts, ends): the pieces of every text and the original bytes that each stands for."""
+def encode_docs(docs: DataFrame, model: str = MODEL, rule: str | None = RULE, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids, starts, ends): the pieces of every text and the original bytes that each stands for; with ``decoded`` also the text that the ids give."""
     with open(model, "rb") as f:
         proto = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((proto, charsmap(rule, proto)))
@@ -202,9 +208,13 @@ def encode_docs(docs: DataFrame, model: str = MODEL, rule: str | None = RULE) ->
                 ids, starts, ends, token_offs = encode(proto, blob, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 lists = pa.array(token_offs.astype(np.int32), pa.int32(), mask=np.append(null[i:j], False))
                 arrays = [pa.ListArray.from_arrays(lists, pa.array(x, pa.int32())) for x in (ids, starts, ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], ["doc_id", "ids", "starts", "ends"])
+                names = ["doc_id", "ids", "starts", "ends"]
+                if decoded:
+                    arrays.append(pa.array(decode(proto, ids, token_offs), pa.string(), mask=null[i:j]))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names)
 
-    return doc_columns(docs).mapInArrow(run, ENCODED)
+    return doc_columns(docs).mapInArrow(run, ENCODED + (", decoded string" if decoded else ""))
 
 
 def decode_docs(encoded: DataFrame, model: str = MODEL) -> DataFrame:

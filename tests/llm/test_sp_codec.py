@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
+from pagemill.llm import queries
 from pagemill.llm import sp_codec as sc
 from pagemill.llm.common import text_bytes
 from tests.llm.helpers import docs, sample, with_clashes
@@ -84,3 +85,14 @@ def test_round_trip_and_defined_results(spark, proto):
     plain = [(i, None if t is None else normaliser.normalize(t).replace("▁", " ")) for i, t in rows]
     assert back == sorted(map(str, plain))
     assert sc.encode_docs(docs(spark, [])).collect() == []
+
+
+def test_query_decodes_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name=sc.RULE, add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False)
+    table = sample()
+    want = [(i, None if t is None else normaliser.normalize(t).replace("▁", " ")) for i, t in zip(table["doc_id"].tolist(), table["text"].tolist(), strict=True)]
+    got = [(r.doc_id, r.decoded) for r in queries.op9_sentencepiece(spark, sf).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    odd = sc.encode_docs(docs(spark, [(1, None), (2, ""), (3, "ﬁne")]), decoded=True).collect()
+    assert sorted((r.doc_id, r.decoded) for r in odd) == [(1, None), (2, ""), (3, "fine")]
