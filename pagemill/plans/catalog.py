@@ -192,11 +192,11 @@ def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The site of the first page, over whole-page links."""
+    """The whole site of the first page, at any depth, over whole-page links."""
     p = _pages(spark, sf_dir)
     seed = p.agg(F.min(F.struct("page_id", "url")).alias("x")).first()["x"]["url"]
     links = p.select("url", F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("links"))
-    admitted, _ = crawl.crawl(links, seed, crawl.CrawlParams(max_pages=0))
+    admitted, _ = crawl.crawl(links, seed, crawl.CrawlParams(max_depth=0, max_pages=0))
     return admitted.select("url", "depth")
 
 

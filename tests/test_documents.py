@@ -9,7 +9,7 @@ from pagemill.operators import assets, events, markdown, robots
 from pagemill.operators.dom import find, parse, serialize
 from pagemill.operators.extract import ExtractParams, extract
 from pagemill.operators.sanitize import sanitize
-from pagemill.plans import crawl, documents
+from pagemill.plans import catalog, crawl, documents
 
 LONG = "Enough words to make this paragraph count as meaningful content of a page. "
 
@@ -237,3 +237,17 @@ def test_crawl_order_and_limits(spark):
     admitted, skipped = crawl.crawl(links, "https://h/", crawl.CrawlParams(), robots.rules(files, "me"))
     assert order(admitted) == ["/", "/b", "/a", "/d"]
     assert [r.reason for r in skipped.collect()] == ["disallowed_by_robots"] * 2
+
+
+def test_crawl_query_equals_a_queue(spark, tmp_path):
+    web = {f"https://h/{k}": [f"https://h/{k + 1}", f"https://h/{k * 7 % 12}", "https://x/o"] for k in range(12)} | {"https://x/o": ["https://h/20"]}
+    rows = [(k, url, "".join(f'<a href="{to}">t</a>' for to in links)) for k, (url, links) in enumerate(web.items())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    depth, queue = {"https://h/0": 0}, ["https://h/0"]
+    for url in queue:
+        for to in web.get(url, []):
+            if to.startswith("https://h/") and to not in depth:
+                depth[to] = depth[url] + 1
+                queue.append(to)
+    assert max(depth.values()) > 3
+    assert {r.url: r.depth for r in catalog.crawl_bfs(spark, str(tmp_path)).collect()} == depth
