@@ -5,11 +5,12 @@ its offset and length), both stored, not deflated. The reader fetches the end of
 locator if the plain directory's fields are full, parses the central directory, finds where the stored members
 begin from their local headers, and turns the index into byte ranges of the package. Executors then read those
 ranges, several megabytes at a time, and gunzip single records. An archive member without an index is walked
-record by record; a deflated one is inflated as a stream, as it can't be read by ranges.
+record by record, as is all of it if a line of an index is bad or places overlap or lie outside, and else the bytes
+that no place covers; a deflated one is inflated as a stream, as it can't be read by ranges.
 
 Defined results: a null html is a record without payload and comes back null, an empty one empty; null urls and
 ids come back null; equal rows are records of their own; a package that can't be parsed gives one row with
-``error``, as does a record that can't; an empty table gives no package and no rows; other columns are never
+``error``, as does a record or a line of an index that can't; an empty table gives no package and no rows; other columns are never
 read.
 """
 
@@ -116,14 +117,16 @@ def is_index(name: str) -> bool:
     return name.lower().endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz", ".idx.cdxj"))
 
 
-def index_lines(raw: bytes) -> Iterator[dict]:
-    for line in raw.split(b"\n"):
-        brace = line.find(b"{")
-        if brace >= 0:
-            try:
-                yield json.loads(line[brace:])
-            except ValueError:
-                continue
+def index_lines(raw: bytes) -> Iterator[tuple[str, int, int] | str]:
+    """(archive's file name, offset, length) of every line, or what is wrong with it; header lines are left out."""
+    for k, line in enumerate(raw.split(b"\n"), 1):
+        if not line.strip() or line.startswith((b"!", b" CDX")):
+            continue
+        try:
+            got = json.loads(line[line.index(b"{") :])
+            yield str(got.get("filename", "")).rsplit("/", 1)[-1], int(got["offset"]), int(got["length"])
+        except (ValueError, KeyError, TypeError) as e:
+            yield f"index line {k}: {type(e).__name__}: {e}"[:300]
 
 
 def member_bytes(source, member: Member) -> bytes:
@@ -164,10 +167,14 @@ def parse_record(raw: bytes) -> dict:
 def walk(raw: bytes, gz: bool) -> Iterator[bytes]:
     """The records of a whole archive member, one after the other."""
     at = 0
+    while not gz and raw[at : at + 2] == b"\r\n":  # a place may leave out the end of its record
+        at += 2
     while at < len(raw):
         if gz:
             d = zlib.decompressobj(31)
             record = d.decompress(raw[at:])
+            if not d.eof:
+                raise BadPackage("a record is cut off")
             at = len(raw) - len(d.unused_data)
             yield record
         else:
@@ -277,18 +284,25 @@ def plan_ranges(path: str) -> list[tuple]:
             members = central_directory(source, length)
             archives = {m.name: m for m in members if is_archive(m.name)}
             indexed: dict[str, list[tuple[int, int]]] = {}
+            bad: list[str] = []
             for m in members:
                 if is_index(m.name):
                     for line in index_lines(member_bytes(source, m)):
-                        if "offset" in line and "length" in line:
-                            indexed.setdefault(str(line.get("filename", "")).rsplit("/", 1)[-1], []).append((int(line["offset"]), int(line["length"])))
-            out = []
+                        if isinstance(line, str):
+                            bad.append(f"{m.name}: {line}"[:300])
+                        else:
+                            indexed.setdefault(line[0], []).append(line[1:])
+            out = [(path, 0, 0, [], [], "", why) for why in bad]
             for name, m in sorted(archives.items()):
                 places = sorted(set(indexed.get(name.rsplit("/", 1)[-1], [])))
                 begin = data_offset(source, m)
-                if m.method or not places:
+                edges = [0, *(x for o, n in places for x in (o, o + n)), m.packed]
+                if m.method or not places or bad or edges != sorted(edges):
                     out.append((path, begin, m.packed, [], [], f"{m.method} {name}", None))
                     continue
+                for a, b in zip(edges[::2], edges[1::2], strict=True):
+                    if a < b:
+                        out.append((path, begin + a, b - a, [], [], f"0 {name}", None))
                 i = 0
                 while i < len(places):
                     j, first = i, places[i][0]
@@ -376,5 +390,6 @@ def list_packages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) of all pages, as read back from the packages they were written to."""
-    return read_packages(write_packages(pages)).filter("error is null").select("page_id", "url", "html")
+    """(page_id, url, html) of all pages, as read back from the packages they were written to; a record that can't be ends the job."""
+    whole = F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")).cast("boolean"))
+    return read_packages(write_packages(pages)).filter(whole).select("page_id", "url", "html")

@@ -88,3 +88,26 @@ def test_without_index_deflated_and_broken(spark, tmp_path):
     good = [(r.page_id, r.url, r.html) for r in rows if r.error is None]
     assert key(good) == key(PAGES * 3)
     assert [r.path.rsplit("/", 1)[-1] for r in rows if r.error] == ["broken.zip"]
+
+
+def test_bad_and_missing_index_lines_lose_no_record(spark, tmp_path):
+    w = wz.PackageWriter()
+    for row in PAGES:
+        w.add(*row)
+    n = len(w.lines)
+    for name, lines in (("bad", [*w.lines[:2], "no json", w.lines[3][:-4], *w.lines[4:]]), ("missing", w.lines[1:3] + w.lines[4:5])):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("archive/data.warc.gz", w.archive.getvalue())
+            z.writestr("indexes/index.cdx", "\n".join(lines))
+    rows = wz.read_packages(wz.list_packages(spark, str(tmp_path))).collect()
+    assert key((r.page_id, r.url, r.html) for r in rows if r.error is None) == key(PAGES * 2)
+    assert [r.path.rsplit("/", 1)[-1] for r in rows if r.error] == ["bad.zip"] * 2 and n == 6
+
+
+def test_round_trip_drops_no_error(spark, monkeypatch):
+    read = wz.read_packages
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(wz, "read_packages", lambda p: read(p).withColumn("error", F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        wz.round_trip(pages(spark, PAGES)).collect()
