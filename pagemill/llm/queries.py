@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, langid, license_scan, near_dedup, packing, sp_codec, suffix_dedup, toxicity, warc_zip
 from .common import table
@@ -29,7 +30,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+    """The neighbours, among all rows, of those whose id is divisible by 100."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
