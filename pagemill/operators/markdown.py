@@ -7,9 +7,10 @@ none, addresses stay as written.
 from __future__ import annotations
 
 import re
+from collections.abc import Generator, Iterable
 from dataclasses import dataclass, field
 
-from .dom import COMMENT, ELEMENT, TEXT, Node
+from .dom import COMMENT, ELEMENT, HEADINGS, TEXT, Node
 
 FAILED = "conversion failed"
 EMPTY, BROKEN_H1, ORPHAN = "empty markdown content", "broken H1 invariant", "orphan content outside root hierarchy"
@@ -29,7 +30,8 @@ def _escape(text: str) -> str:
     return re.sub(r"([\\*_`\[\]])", r"\\\1", text)
 
 
-def _inline(n: Node) -> str:
+def _piece(n: Node) -> str | None:
+    """What an inline node without a mark of its own around its children gives; None if its children say."""
     if n.kind == TEXT:
         return _escape(_SPACE.sub(" ", n.name))
     if n.kind == COMMENT or n.name in _IGNORED:
@@ -47,28 +49,55 @@ def _inline(n: Node) -> str:
         ticks = "`" * (1 + max((len(t) for t in re.findall("`+", text)), default=0))
         pad = " " if text[0] == "`" or text[-1] == "`" else ""
         return f"{ticks}{pad}{text}{pad}{ticks}"
-    inner = "".join(map(_inline, n.children))
+    return None
+
+
+def _marks(n: Node) -> tuple[str, str] | None:
     if n.name == "a" and n.get("href") is not None:
         title = f' "{n.get("title")}"' if n.get("title") else ""
-        return _around(inner, "[", f"]({n.get('href')}{title})")
+        return "[", f"]({n.get('href')}{title})"
     if n.name in ("strong", "b"):
-        return _around(inner, "**", "**")
-    if n.name in ("em", "i"):
-        return _around(inner, "*", "*")
-    return inner
+        return "**", "**"
+    return ("*", "*") if n.name in ("em", "i") else None
 
 
-def _around(inner: str, left: str, right: str) -> str:
-    """Marks go inside the blanks at either end, as a mark next to a blank means nothing."""
-    core = inner.strip()
-    if not core:
-        return inner
-    head, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
-    return f"{head}{left}{core}{right}{tail}"
+def _inline(nodes: Iterable[Node]) -> str:
+    """Inline nodes one after the other. Marks go inside the blanks at either end, as one next to a blank means
+    nothing, and an element of blanks gets none: opening marks wait for the first text that isn't blank, and
+    blanks wait for what comes after them. Bold in bold is marked once, as is emphasis."""
+    out: list[str] = []
+    on: set[str] = set()
+    blanks: list[str] = []
+    waiting: list[str] = []  # opening marks whose element has no text yet
+    todo: list[Node | str] = list(nodes)[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):  # the end of a marked element
+            on.discard(x)
+            if waiting:
+                waiting.pop()
+            else:
+                out.append(x)
+            continue
+        text = _piece(x)
+        if text is None:
+            marks = _marks(x)
+            if marks and marks[1] not in on:
+                on.add(marks[1])
+                waiting.append(marks[0])
+                todo.append(marks[1])
+            todo.extend(reversed(x.children))
+        elif core := text.strip():
+            at = text.index(core)
+            out += [*blanks, text[:at], *waiting, core]
+            waiting.clear()
+            blanks = [text[at + len(core) :]]
+        else:
+            blanks.append(text)
+    return "".join(out + blanks)
 
 
-def _paragraph(parts: list[str]) -> str:
-    text = "".join(parts)
+def _paragraph(text: str) -> str:
     lines = [re.sub(r" {2,}(?!\n|$)", " ", line.lstrip()) for line in text.strip().split("\n")]
     text = "\n".join(x if k == len(lines) - 1 else x.rstrip() + "  " for k, x in enumerate(lines)).rstrip()
     # what would begin another block at the start of a line
@@ -93,26 +122,50 @@ def _fence(n: Node) -> str:
     return f"{ticks}{info}\n{text}\n{ticks}"
 
 
-def _list(n: Node) -> str:
+class TooDeep(ValueError):
+    """Lists and quotes in one another beyond ``MAX_NESTING``: every one indents all that it holds."""
+
+
+MAX_NESTING = 1000
+_Step = Generator["_Step", object, object]
+
+
+def _flat(nodes: Iterable[Node]) -> str:
+    """Inline text on one line."""
+    return " ".join(_inline(nodes).replace("  \n", " ").split())
+
+
+def _list(n: Node, holding: set[int]) -> _Step:
     items = [c for c in n.children if c.kind == ELEMENT]
     start = n.get("start") or "1"
-    number = int(start) if start.isdigit() else 1
+    number = int(start) if re.fullmatch("[0-9]{1,9}", start) else 1
     out, loose = [], False
     for k, item in enumerate(items):
         mark = f"{number + k}. " if n.name == "ol" else "- "
-        blocks = _blocks(item) if item.name != "ul" and item.name != "ol" else [_list(item)]
-        nested = [b for b in item.children if b.kind == ELEMENT and b.name in ("p", "pre", "blockquote", "table")]
-        loose |= len(nested) > 1 or bool(nested and len(blocks) > 1)
+        blocks = [(yield _list(item, holding))] if item.name in ("ul", "ol") else (yield _blocks(item, holding))
+        nested = sum(b.kind == ELEMENT and b.name in ("p", "pre", "blockquote", "table") for b in item.children)
+        loose |= nested > 1 or bool(nested and len(blocks) > 1)
         body = ("\n\n" if loose else "\n").join(blocks)
         pad = " " * len(mark)
         out.append(mark + "\n".join(pad + x if i and x else x for i, x in enumerate(body.split("\n"))))
     return ("\n\n" if loose else "\n").join(out)
 
 
+def _rows(table: Node) -> list[Node]:
+    """The rows of a table, without those of tables in it."""
+    out, todo = [], list(reversed(table.children))
+    while todo:
+        n = todo.pop()
+        if n.kind == ELEMENT and n.name == "tr":
+            out.append(n)
+        if n.name != "table":
+            todo.extend(reversed(n.children))
+    return out
+
+
 def _table(n: Node) -> str:
-    rows = [r for r in n.elements() if r.name == "tr" and next((a for a in r.ancestors() if a.name == "table"), None) is n]
-    cells = [[c for c in r.children if c.kind == ELEMENT and c.name in ("td", "th")] for r in rows]
-    grid = [[" ".join("".join(map(_inline, c.children)).replace("  \n", " ").split()).replace("|", "\\|") for c in r] for r in cells]
+    cells = [[c for c in r.children if c.kind == ELEMENT and c.name in ("td", "th")] for r in _rows(n)]
+    grid = [[_flat(c.children).replace("|", "\\|") for c in r] for r in cells]
     pairs = [(r, g) for r, g in zip(cells, grid, strict=True) if g]
     if not pairs:
         return ""
@@ -125,54 +178,76 @@ def _table(n: Node) -> str:
     return "\n".join([first, "|" + "|".join(["---"] * width) + "|", *map(line, body)])
 
 
-def _blocks(n: Node) -> list[str]:
-    """The blocks that an element's content makes; loose text between blocks is a paragraph of its own."""
+def _blocks(n: Node, holding: set[int]) -> _Step:
+    """The blocks that an element's content makes; loose text between blocks is a paragraph of its own. ``holding`` are the nodes with blocks below them."""
     out: list[str] = []
-    run: list[str] = []
+    run: list[Node] = []
 
     def flush() -> None:
-        text = _paragraph(run)
-        if text:
-            out.append(text)
-        run.clear()
-
-    def holds_blocks(c: Node) -> bool:
-        return any(x.kind == ELEMENT and x.name in _BLOCK for x in c.walk() if x is not c)
-
-    for c in n.children:
-        if c.kind != ELEMENT or (c.name not in _BLOCK and not holds_blocks(c)):
-            run.append(_inline(c))
-            continue
-        flush()
-        if c.name in _IGNORED:
-            continue
-        if c.name[0] == "h" and c.name[1:].isdigit():
-            text = " ".join("".join(map(_inline, c.children)).replace("  \n", " ").split())
+        if run:
+            text = _paragraph(_inline(run))
             if text:
-                out.append("#" * int(c.name[1]) + " " + text)
-        elif c.name == "pre":
-            out.append(_fence(c))
-        elif c.name in ("ul", "ol", "menu"):
-            if text := _list(c):
-                out.append(text)
-        elif c.name == "blockquote":
-            if inner := "\n\n".join(_blocks(c)):
-                out.append("\n".join(("> " + x).rstrip() for x in inner.split("\n")))
-        elif c.name == "hr":
-            out.append("* * *")
-        elif c.name == "table":
-            if text := _table(c):
                 out.append(text)
+            run.clear()
+
+    todo: list[Node | None] = list(reversed(n.children))
+    while todo:
+        c = todo.pop()
+        if c is None:  # the end of a container
+            flush()
+        elif c.kind != ELEMENT or (c.name not in _BLOCK and id(c) not in holding):
+            run.append(c)
         else:
-            out += _blocks(c)
+            flush()
+            if c.name in _IGNORED:
+                continue
+            if c.name in HEADINGS:
+                if text := _flat(c.children):
+                    out.append("#" * int(c.name[1]) + " " + text)
+            elif c.name == "pre":
+                out.append(_fence(c))
+            elif c.name in ("ul", "ol", "menu"):
+                if text := (yield _list(c, holding)):
+                    out.append(text)
+            elif c.name == "blockquote":
+                if inner := "\n\n".join((yield _blocks(c, holding))):
+                    out.append("\n".join(("> " + x).rstrip() for x in inner.split("\n")))
+            elif c.name == "hr":
+                out.append("* * *")
+            elif c.name == "table":
+                if text := _table(c):
+                    out.append(text)
+            else:
+                todo.append(None)
+                todo.extend(reversed(c.children))
     flush()
     return out
 
 
+def _finished(step: _Step) -> object:
+    """The result of a step that yields the steps it waits for, without recursion."""
+    stack, value = [step], None
+    while True:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+            if len(stack) > 2 * MAX_NESTING:  # a list is two steps
+                raise TooDeep(f"more than {MAX_NESTING} lists and quotes in one another")
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+            if not stack:
+                return value
+
+
 def to_markdown(root: Node) -> str:
     holder = Node(ELEMENT, "div")
     holder.children = [root] if root.kind == ELEMENT and root.name in _BLOCK else list(root.children)
-    return "\n\n".join(_blocks(holder))
+    holding: set[int] = set()
+    for n in reversed(list(holder.walk())):
+        if any(c.kind == ELEMENT and (c.name in _BLOCK or id(c) in holding) for c in n.children):
+            holding.add(id(n))
+    return "\n\n".join(_finished(_blocks(holder, holding)))
 
 
 def link_refs(root: Node) -> list[tuple[str, str]]:
@@ -202,7 +277,7 @@ class Outline:
 
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 
 
 def outline(markdown: str) -> Outline:
@@ -228,7 +303,9 @@ def outline(markdown: str) -> Outline:
             fence, paragraph, blank = m[1], False, False
             content(code=True)
         elif m := _ATX.match(line):
-            text = (m[2] or "").strip()
+            text = line[m.end() :].strip(" \t")
+            open_ = text.rstrip("#")
+            text = (open_ if not open_ or open_[-1] in " \t" else text).strip()
             out.headings.append(Heading(len(m[1]), text, bool(text)))
             paragraph = blank = False
         elif blank and re.match(r" {4,}|\t", line) and not paragraph:
@@ -259,9 +336,11 @@ def check(markdown: str, strict_empty_sections: bool = False) -> str | None:
     if any(b > a + 1 for a, b in zip(levels, levels[1:], strict=False)):
         return SKIPPED
     bodies = _bodies(markdown) if strict_empty_sections else [h.content for h in found.headings]
-    for i, full in enumerate(bodies):
-        if not full and any(x <= levels[i] for x in levels[i + 1 :]):
+    least = 7  # the highest level that comes later
+    for level, full in zip(reversed(levels), reversed(bodies), strict=True):
+        if not full and least <= level:
             return EMPTY_SECTION
+        least = min(least, level)
     return None
 
 

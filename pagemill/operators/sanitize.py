@@ -8,10 +8,12 @@ read from what is left.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-from .dom import COMMENT, ELEMENT, HEADINGS, TEXT, VOID, Node, find_all
+from .dom import COMMENT, ELEMENT, HEADINGS, TEXT, VOID, Node, find_all, prune
 
 UNPARSEABLE = "unparseable html"
 COMPETING_ROOTS, NO_ANCHOR, MANY_H1 = "competing document roots", "no structural anchor", "multiple h1 without primary root"
@@ -44,60 +46,148 @@ def repairable(root: Node) -> str | None:
     parents = [id(n.parent) for n in below if n.name == "h1"]
     if len(parents) > len(set(parents)):
         return MANY_H1
-    # sections are counted over headings sorted by level, where at most one can have any below it: MANY_DOCUMENTS
-    # therefore never arises, and of AMBIGUOUS only the nesting test can
-    deep = [n for n in below if n.name in ("article", "section")]
-    if sum(sum(a.name in ("article", "section") for a in n.ancestors()) > 3 for n in deep) > 2:
+    if implied_documents(below):
+        return MANY_DOCUMENTS
+    if _deep_sections(root) > 2:
         return AMBIGUOUS
     return None
 
 
-def _last_heading(n: Node) -> int:
-    return next((level(x) for x in reversed(list(n.walk())) if level(x)), 0)
+def heading_list(below: list[Node]) -> list[Node]:
+    """Headings by level and then in document order: the order that the section tests below go by."""
+    return sorted((n for n in below if level(n)), key=level)
 
 
-def context_level(n: Node) -> int:
-    """Level of the nearest heading before ``n``: among its siblings and inside them, then from ancestor to ancestor."""
-    at: Node | None = n
-    while at is not None and at.parent is not None:
-        for sibling in reversed(at.parent.children[: at.index()]):
-            if found := _last_heading(sibling):
-                return found
-        at = at.parent
-        if level(at):
-            return level(at)
-    return 1
+def implied_documents(below: list[Node]) -> bool:
+    """Several h1, of which two or more have two deeper headings each before the next h1 in ``heading_list``.
+
+    In that order all h1 come first, so only the last can have any, and this never holds for a real tree.
+    """
+    levels = [level(n) for n in heading_list(below)]
+    tops = [k for k, x in enumerate(levels) if x == 1]
+    return sum(b - a > 2 for a, b in zip(tops, [*tops[1:], len(levels)], strict=False)) > 1
+
+
+def _deep_sections(root: Node) -> int:
+    """How many articles and sections below the root have more than three of them above."""
+    above = sum(a.name in ("article", "section") for a in root.ancestors())
+    found, todo = 0, [(root, above)]
+    while todo:
+        n, above = todo.pop()
+        mine = n.kind == ELEMENT and n.name in ("article", "section")
+        found += mine and above > 3 and n is not root
+        todo.extend((c, above + mine) for c in n.children)
+    return found
+
+
+class _Headings:
+    """Headings of a tree by their place in document order, while tab labels come in and tab bars go."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = list(root.walk())
+        self.begin = {id(n): float(k) for k, n in enumerate(self.nodes)}
+        self.end: dict[int, float] = {}
+        for n in reversed(self.nodes):
+            self.end[id(n)] = self.end[id(n.children[-1])] if n.children else self.begin[id(n)] + 1
+        self.places = [self.begin[id(n)] for n in self.nodes if level(n)]
+        self.found = [n for n in self.nodes if level(n)]
+        self.outer = 1  # level of the last heading before the root in the whole document
+        for n in [root, *root.ancestors()][-1].walk():
+            if n is root:
+                break
+            self.outer = level(n) or self.outer
+
+    def before(self, n: Node) -> int:
+        """Level of the nearest heading before ``n``; 1 if there is none."""
+        k = bisect_left(self.places, self.begin[id(n)])
+        return level(self.found[k - 1]) if k else self.outer
+
+    def _stop(self, n: Node) -> int:
+        # a label that stands right after the last node is half a place beyond it
+        return bisect_right(self.places, self.end[id(n)] - 0.75)
+
+    def inside(self, n: Node) -> list[Node]:
+        return self.found[bisect_right(self.places, self.begin[id(n)]) : self._stop(n)]
+
+    def insert(self, heading: Node, before: Node) -> None:
+        # half a place before the panel, and after labels that came there earlier
+        at = self.begin[id(before)] - 0.5
+        k = bisect_right(self.places, at)
+        self.places.insert(k, at)
+        self.found.insert(k, heading)
+
+    def drop(self, n: Node) -> None:
+        i, j = bisect_left(self.places, self.begin[id(n)]), self._stop(n)
+        del self.places[i:j], self.found[i:j]
 
 
 def linearize_tabs(root: Node) -> None:
     """Every tab panel gets its tab's label as a heading, its own headings move below that, and the tab bar goes."""
-    for bar in find_all(root, "[role='tablist']"):
-        if not bar.inside(root) or bar is root:
+    bars = find_all(root, "[role='tablist']")
+    if not bars:
+        return
+    known = _Headings(root)
+    by_id: dict[str, list[Node]] = {}
+    for n in known.nodes:
+        if n.kind == ELEMENT and n is not root and (name := n.get("id")):
+            by_id.setdefault(name, []).append(n)
+    child_at: dict[int, dict[int, int]] = {}  # of a parent its children's places
+    heads: dict[int, tuple[list[float], dict[float, Node]]] = {}  # of a parent the places of headings among its children
+    labels: dict[int, list[Node]] = {}  # of a panel the headings that go before it
+    gone: list[Node] = []
+    gone_begin: list[float] = []
+
+    def removed(n: Node) -> bool:
+        k = bisect_right(gone_begin, known.begin[id(n)])
+        return bool(k) and known.begin[id(n)] < known.end[id(gone[k - 1])]
+
+    def siblings(parent: Node) -> tuple[dict[int, int], tuple[list[float], dict[float, Node]]]:
+        if id(parent) not in child_at:
+            child_at[id(parent)] = {id(c): k for k, c in enumerate(parent.children)}
+            there = {float(k): c for k, c in enumerate(parent.children) if level(c)}
+            heads[id(parent)] = (sorted(there), there)
+        return child_at[id(parent)], heads[id(parent)]
+
+    for bar in bars:
+        if removed(bar):
             continue
+        panels: list[Node] | None = None
         for k, tab in enumerate(find_all(bar, "[role='tab']")):
             wanted = tab.get("aria-controls")
-            panel = next((n for n in root.elements() if n is not root and n.get("id") == wanted), None) if wanted else None
+            panel = next((n for n in by_id.get(wanted, ()) if not removed(n)), None) if wanted else None
             if panel is None:
-                panels = find_all(bar.parent, "[role='tabpanel']") if bar.parent is not None else []
+                if panels is None:
+                    panels = [n for n in find_all(bar.parent, "[role='tabpanel']") if id(n) in known.begin and not removed(n)] if bar.parent is not None else []
                 panel = panels[k] if k < len(panels) else None
-            if panel is None or panel.parent is None:
+            if panel is None or panel.parent is None or panel is root:
                 continue
+            places, (order, there) = siblings(panel.parent)
+            at = places[id(panel)] - 0.5
             label = tab.text().strip()
-            depth = min(context_level(bar) + 1, 6)
+            depth = min(known.before(bar) + 1, 6)
             if label:
                 heading = Node(ELEMENT, f"h{depth}")
                 heading.append(Node(TEXT, label))
                 heading.parent = panel.parent
-                panel.parent.children.insert(panel.index(), heading)
+                labels.setdefault(id(panel), []).append(heading)
+                known.insert(heading, panel)
+                if at not in there:
+                    insort(order, at)
+                there[at] = heading
             else:
-                before = panel.parent.children[: panel.index()]
-                depth = next((level(n) for n in reversed(before) if level(n)), 0)
-            inner = [n for n in panel.elements() if n is not panel and level(n)]
+                i = bisect_right(order, at)
+                depth = level(there[order[i - 1]]) if i else 0
+            inner = known.inside(panel)
             top = min(map(level, inner), default=7)
             if top <= depth:
                 for n in inner:
                     n.name = f"h{min(6, max(1, level(n) + depth + 1 - top))}"
-        bar.remove()
+        known.drop(bar)
+        gone.append(bar)
+        gone_begin.append(known.begin[id(bar)])
+    for parent in {id(n.parent): n.parent for n in known.nodes if id(n) in labels}.values():
+        parent.children = [x for c in parent.children for x in (*labels.get(id(c), ()), c)]
+    prune(gone)
 
 
 def renumber_headings(root: Node) -> None:
@@ -110,9 +200,8 @@ def renumber_headings(root: Node) -> None:
             before = level(n)
 
 
-def _remove_all(root: Node, unwanted) -> None:
-    for n in [x for x in root.elements() if x is not root and unwanted(x)]:
-        n.remove()
+def _remove_all(root: Node, unwanted: Callable[[Node], bool]) -> None:
+    prune([n for n in root.elements() if n is not root and unwanted(n)])
 
 
 def remove_eyebrows(root: Node) -> None:
@@ -127,11 +216,14 @@ def remove_hidden(root: Node) -> None:
 
 def remove_empty(root: Node) -> None:
     """From the leaves up: elements with neither elements nor text that isn't blank."""
-    for n in reversed(list(root.elements())):
+    gone: set[int] = set()
+    nodes = list(root.elements())
+    for n in reversed(nodes):
         if n is root or n.name in KEEP_EMPTY:
             continue
-        if not any(c.kind == ELEMENT or (c.kind == TEXT and c.name.strip()) for c in n.children):
-            n.remove()
+        if not any((c.kind == ELEMENT and id(c) not in gone) or (c.kind == TEXT and c.name.strip()) for c in n.children):
+            gone.add(id(n))
+    prune([n for n in nodes if id(n) in gone])
 
 
 def _signatures(root: Node) -> dict[int, bytes]:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing, urls
 from ..operators import markdown as md
 from ..operators.dom import serialize
-from ..operators.extract import ExtractParams, extract
-from ..operators.sanitize import sanitize
+from ..operators.extract import NOT_HTML, ExtractParams, extract
+from ..operators.sanitize import UNPARSEABLE, sanitize
 
 VERSION = "pagemill/0.1"
 NO_SECTION = "section derivation failed"
@@ -27,37 +27,49 @@ NAMES = [x.strip().split(" ")[0] for x in ("layer, selector, content_html, links
 
 
 def document(html: str | None, params: ExtractParams = ExtractParams(), strict_empty_sections: bool = False) -> dict:
-    """All that one page yields. ``stage`` and ``cause`` are null for a sound document, else name its first failure."""
+    """All that one page yields. ``stage`` and ``cause`` are null for a sound document, else name its first failure.
+
+    What no stage foresees is a failure of the stage that it arose in, never an exception of the job.
+    """
     out: dict = dict.fromkeys(NAMES)
     if html is None:
         return out | {"stage": "fetch", "cause": "failed to read response body"}
-    found = extract(html, params)
-    if found.node is None:
-        return out | {"stage": "extract", "cause": found.cause}
-    out |= {"layer": found.layer, "selector": found.selector}
-    clean = sanitize(found.node)
-    if clean.node is None:
-        return out | {"stage": "sanitize", "cause": clean.cause}
-    text = md.to_markdown(clean.node)
-    refs = [{"raw": r, "kind": k} for r, k in md.link_refs(clean.node)]
-    out |= {"content_html": serialize(clean.node), "links": clean.links, "markdown": text, "refs": refs, "title": md.title(text)}
-    cause = md.check(text, strict_empty_sections) or (md.NO_TITLE if out["title"] is None else None)
-    return out | ({"stage": "normalize", "cause": cause} if cause else {})
-
-
-def parsed(pages: DataFrame, params: ExtractParams = ExtractParams(), strict_empty_sections: bool = False) -> DataFrame:
-    """(page_id, url, layer, selector, content_html, links, markdown, refs, title, stage, cause) of every page."""
+    stage, cause = "extract", NOT_HTML
+    try:
+        found = extract(html, params)
+        if found.node is None:
+            return out | {"stage": "extract", "cause": found.cause}
+        out |= {"layer": found.layer, "selector": found.selector}
+        stage, cause = "sanitize", UNPARSEABLE
+        clean = sanitize(found.node)
+        if clean.node is None:
+            return out | {"stage": "sanitize", "cause": clean.cause}
+        out |= {"content_html": serialize(clean.node), "links": clean.links}
+        stage, cause = "convert", md.FAILED
+        text = md.to_markdown(clean.node)
+        out |= {"markdown": text, "refs": [{"raw": r, "kind": k} for r, k in md.link_refs(clean.node)]}
+        stage, cause = "normalize", md.NO_TITLE
+        out["title"] = md.title(text)
+        broken = md.check(text, strict_empty_sections) or (md.NO_TITLE if out["title"] is None else None)
+        return out | ({"stage": "normalize", "cause": broken} if broken else {})
+    except (ArithmeticError, AttributeError, LookupError, RuntimeError, TypeError, ValueError):
+        return out | {"stage": stage, "cause": cause}
+
+
+def parsed(pages: DataFrame, params: ExtractParams = ExtractParams(), strict_empty_sections: bool = False, columns: tuple[str, ...] = tuple(NAMES)) -> DataFrame:
+    """(page_id, url, layer, selector, content_html, links, markdown, refs, title, stage, cause) of every page; of these ``columns`` only what is asked for leaves Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 rows = [document(html, params, strict_empty_sections) for html in part.column(2).to_pylist()]
-                made = [pa.array([r[n] for r in rows], _KINDS.get(n, pa.string())) for n in NAMES]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["page_id", "url", *NAMES])
+                made = [pa.array([r[n] for r in rows], _KINDS.get(n, pa.string())) for n in columns]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["page_id", "url", *columns])
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInArrow(run, f"page_id long, url string, {_FIELDS}")
+    kinds = dict(x.split(" ", 1) for x in _FIELDS.split(", "))
+    return narrow.mapInArrow(run, ", ".join(["page_id long", "url string", *(f"{n} {kinds[n]}" for n in columns)]))
 
 
 def with_frontmatter(docs: DataFrame, prefixes: tuple[str, ...] = ("/",), algorithm: str = "sha256", version: str = VERSION) -> DataFrame:

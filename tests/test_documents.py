@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +253,109 @@ def test_crawl_query_equals_a_queue(spark, tmp_path):
                 queue.append(to)
     assert max(depth.values()) > 3
     assert {r.url: r.depth for r in catalog.crawl_bfs(spark, str(tmp_path)).collect()} == depth
+
+
+# ------------------------------------------------- pages made to be awkward
+
+N = 40_000
+START = f"<main><h1>T</h1><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "stage"),
+    [
+        (START + "<div>" * N + LONG, None),
+        (START + "<span>" * N + LONG, None),
+        (f"<h1>T</h1><p>{LONG}</p>" + "<div class=nav>" * N + LONG, None),
+        (f"<h1>T</h1><p>{LONG}</p>" + "<header>" * N + LONG, None),
+        (START + "<section>" * N + LONG, "sanitize"),
+        (START + "<ul><li>" * (N // 2), None),
+        (START + "<ul><li>x" * 600, None),
+        (START + "<ul><li>x" * (N // 2), "convert"),
+        (START + "<blockquote>x" * N, "convert"),
+        (START + "<span></span>" * N, None),
+        (START + "".join(f"<span id={k}></span>" for k in range(N)), None),
+        (START + "<a " * N, None),
+        (START + '<a href="' * N, None),
+        (START + "<" * N, None),
+        (START + "<!-- " * N, None),
+        (START + "<script>" + "</script " * N, None),
+        (START + "x</b>" * N, None),
+        (START + "<p>" + "<b>x" * N, None),
+        (START + "<table><tr><td>x" * (N // 3), None),
+        (START + "<div><div role=tablist>" + "".join(f"<a role=tab aria-controls=p{k}>t{k}</a>" for k in range(1500)) + "</div>" + "".join(f"<div role=tabpanel id=p{k}><h1>q{k}</h1></div>" for k in range(1500)) + "</div>", None),
+    ],
+)
+def test_large_and_deep_pages_cost_little(html, stage):
+    began = time.process_time()
+    got = documents.document(html)
+    assert time.process_time() - began < 4  # seconds; what took a square of the nodes would need minutes
+    assert got["stage"] == stage
+
+
+def test_odd_values_fail_no_page():
+    got = documents.document(START + f"<ol start='²'><li>x</ol><ol start={'9' * 5000}><li>y</ol><ol start=7><li>z</ol>")
+    assert got["cause"] is None and got["markdown"].endswith("1. x\n\n1. y\n\n7. z")
+
+
+def test_what_no_stage_foresees_is_a_row(monkeypatch):
+    def broken(node):
+        raise RecursionError
+
+    monkeypatch.setattr(documents.md, "to_markdown", broken)
+    got = documents.document(START)
+    assert (got["stage"], got["cause"], got["markdown"]) == ("convert", "conversion failed", None) and got["content_html"]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a<b", "a"),
+        ("<p title=it's>x", '<p title="it&#x27;s">x</p>'),
+        ("<p don't>x</p>", "<p don't=\"\">x</p>"),
+        ("a < b <3 c", "a &lt; b &lt;3 c"),
+        ("x</>y</ z>w", "xy<!-- z-->w"),
+        ("<script>a</script x>b", "<script>a</script>b"),
+        ("<!-->x<!--->y<!--z--!>", "<!---->x<!---->y<!--z-->"),
+        ("<pre>\na</pre>", "<pre>a</pre>"),
+    ],
+)
+def test_tokens(html, want):
+    assert serialize(body("<body>" + html)) == f"<body>{want}</body>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+        ("<p><b>x<br><p>y</p><p>z", "<p><b>x<br></b></p><p><b>y</b></p><p><b>z</b></p>"),
+        ("<div><b>a</div>b", "<div><b>a</b></div><b>b</b>"),
+        ("<a href=1>x<a href=2>y</a>z", '<a href="1">x</a><a href="2">y</a>z'),
+        ("<a>1<div>2<a>3</a>4</div>5", "<a>1</a><div><a>2</a><a>3</a>4</div>5"),
+        ("<span><div>x</span>y</div>z", "<span><div>xy</div>z</span>"),
+        ("<p><b><b><b><b><p>x", "<p><b><b><b><b></b></b></b></b></p><p><b><b><b>x</b></b></b></p>"),
+        ("<b><em><x><x><x><x><aside></b></em>", "<b><em><x><x><x><x></x></x></x></x></em></b><aside><b></b></aside>"),
+        ("<table><b><tr><td>a</td></tr>b</table>c", "<b></b><b>b</b><table><tbody><tr><td>a</td></tr></tbody></table><b>c</b>"),
+        ("<table>x<tr><td>1<td>2<tr><th>3</table>y", "x<table><tbody><tr><td>1</td><td>2</td></tr><tr><th>3</th></tr></tbody></table>y"),
+        ("<table><tr><td><b>x</td><td>y</table>z", "<table><tbody><tr><td><b>x</b></td><td>y</td></tr></tbody></table>z"),
+        ("<table><table>x", "<table></table>x<table></table>"),
+        ("<td>x</td><tr>y", "xy"),
+        ("<ul><li>a<div><li>b</ul>", "<ul><li>a<div></div></li><li>b</li></ul>"),
+        ("<p>a<table><tr><td>b<p>c</table>d", "<p>a<table><tbody><tr><td>b<p>c</p></td></tr></tbody></table>d</p>"),
+    ],
+)
+def test_misnested_formatting_and_loose_table_content(html, want):
+    assert serialize(body("<body>" + html)) == f"<body>{want}</body>"
+
+
+def test_doctype_lets_a_table_end_a_paragraph():
+    assert serialize(body("<!DOCTYPE html><p>a<table></table>")) == "<body><p>a</p><table></table></body>"
+
+
+def test_formatting_that_never_ends_stays_bounded():
+    html = START + "".join(f"<p><b id={k}>x" for k in range(3000))
+    began = time.process_time()
+    got = documents.document(html)
+    assert got["cause"] is None and time.process_time() - began < 4
+    assert markdown.to_markdown(body("<b><b>x <i>y</i></b></b>")) == "**x *y***"
