@@ -15,16 +15,22 @@ TOO_LARGE, MISSING = "asset too large", "network issues"
 _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
 
 
+def _use(docs: DataFrame) -> Column:
+    """Names a row by all that its images depend on: rows that agree in it get the same result."""
+    return F.md5(F.to_json(F.struct(docs["page_rank"], docs["url"], docs["refs"])))
+
+
 def images(docs: DataFrame) -> DataFrame:
-    """(page_rank, ord, raw, resolved, key) of every image reference of docs (page_rank, url, refs)."""
-    each = docs.select("page_rank", "url", F.posexplode(F.filter("refs", lambda r: r["kind"] == "image")).alias("ord", "ref"))
-    each = each.select("page_rank", "ord", F.col("ref.raw").alias("raw"), urls.resolve("ref.raw", urls.scheme("url"), urls.authority("url")).alias("resolved"))
+    """(use, page_rank, ord, raw, resolved, key) of every image reference of docs (page_rank, url, refs) that has an address: one relative to a null url has none."""
+    rows = docs.select(_use(docs).alias("use"), "page_rank", "url", "refs").dropDuplicates(["use"])
+    each = rows.select("use", "page_rank", "url", F.posexplode(F.filter("refs", lambda r: (r["kind"] == "image") & r["raw"].isNotNull())).alias("ord", "ref"))
+    each = each.select("use", "page_rank", "ord", F.col("ref.raw").alias("raw"), urls.resolve_on("ref.raw", "url").alias("resolved")).filter("resolved is not null")
     return each.withColumn("key", urls.canonical("resolved"))
 
 
 def first_uses(used: DataFrame) -> DataFrame:
     """One row a key: the first use in crawl order, whose URL, query included, is the one to fetch."""
-    first = F.min(F.struct("page_rank", "ord", "resolved")).alias("first")
+    first = F.min(F.struct(F.col("page_rank").isNull().alias("none"), "page_rank", "ord", "resolved")).alias("first")
     return used.groupBy("key").agg(first).select("key", "first.page_rank", "first.ord", "first.resolved")
 
 
@@ -68,7 +74,7 @@ def kept(used: DataFrame, fetched: DataFrame | None, max_bytes: int = 0, algorit
         cause = F.coalesce(status_cause(F.col("_a.status")), F.when(body.isNull(), "failed to read response body"), F.when(large, TOO_LARGE))
         held = first.join(once, "resolved", "left").withColumn("cause", cause)
         held = held.withColumn("hash", F.when(F.col("cause").isNull(), hashing.digest(body, algorithm))).withColumn("size", F.octet_length(body).cast("long")).drop("_a")
-    w = Window.partitionBy("hash").orderBy("page_rank", "ord", "key")
+    w = Window.partitionBy("hash").orderBy(F.asc_nulls_last("page_rank"), "ord", "key")
     good = held.filter("cause is null").withColumn("path", F.first(asset_path("resolved", "hash")).over(w)).withColumn("new", F.row_number().over(w) == 1)
     bad = held.filter("cause is not null").withColumn("path", F.lit(None).cast("string")).withColumn("new", F.lit(False))
     return good.unionByName(bad).select("key", "resolved", "cause", "hash", "path", "new", "size")
@@ -87,17 +93,19 @@ def _rewrite(markdown: pd.Series, paths: pd.Series) -> pd.Series:
 def resolve(docs: DataFrame, fetched: DataFrame | None, max_bytes: int = 0, algorithm: str = "sha256") -> DataFrame:
     """docs (page_rank, url, markdown, refs, ...) with local image paths in the Markdown, and missing map<url,cause>, local array<string> (sorted).
 
-    Documents without images keep out of the joins' Python step: it sees only texts that change.
+    Every row has its own images, whether page_rank repeats or is null; a null url leaves relative images as they are, null
+    refs are no images, and a null markdown stays null. Documents without images keep out of the joins' Python step: it
+    sees only texts that change.
     """
     used = images(docs)
     held = kept(used, fetched, max_bytes, algorithm)
     own = used.join(held.select("key", "cause", "path"), "key")
     paths = F.collect_set(F.when(F.col("path").isNotNull(), F.struct("raw", "path")))
     lost = F.collect_set(F.when(F.col("cause").isNotNull(), F.struct("resolved", "cause")))
-    per = own.groupBy("page_rank").agg(paths.alias("_paths"), F.map_from_entries(lost).alias("missing"), F.sort_array(F.collect_set("path")).alias("local"))
-    joined = docs.join(per.withColumn("_paths", F.map_from_entries("_paths")), "page_rank", "left")
+    per = own.groupBy(F.col("use").alias("_use")).agg(F.map_from_entries(paths).alias("_paths"), F.map_from_entries(lost).alias("missing"), F.sort_array(F.collect_set("path")).alias("local"))
+    joined = docs.withColumn("_use", _use(docs)).join(per, "_use", "left")
     changed = joined.filter(F.size("local") > 0).withColumn("markdown", _rewrite("markdown", "_paths"))
     same = joined.filter(F.coalesce(F.size("local"), F.lit(0)) <= 0)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    both = changed.unionByName(same).drop("_paths")
+    both = changed.unionByName(same).drop("_paths", "_use")
     return both.withColumn("missing", F.coalesce("missing", none)).withColumn("local", F.coalesce("local", F.array().cast("array<string>")))

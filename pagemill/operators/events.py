@@ -54,16 +54,33 @@ def fetch_cause(status: Column, content_type: Column) -> Column:
 # ------------------------------------------------------------------- schedules
 
 
-def backoff_ms(attempt: Column, initial_ms: int = 100, factor: float = 2.0, cap_ms: int = 10_000) -> Column:
-    """Wait before the given retry (1 is the first), without jitter."""
-    return F.least(F.lit(float(cap_ms)), F.lit(float(initial_ms)) * F.pow(F.lit(factor), attempt - 1)).cast("long")
-
-
-def politeness(urls_: DataFrame, base_ms: int = 1000) -> DataFrame:
-    """``urls_`` (host, rank, crawl_delay_ms, ...) with wait_ms and start_ms: hosts run side by side, each waiting between its own requests."""
-    wait = F.coalesce("crawl_delay_ms", F.lit(base_ms)).cast("long")
-    w = Window.partitionBy("host").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return urls_.withColumn("wait_ms", wait).withColumn("start_ms", F.coalesce(F.sum("wait_ms").over(w), F.lit(0)).cast("long"))
+def jitter_ms(key: Column, most_ms: int) -> Column:
+    """From 0 to ``most_ms``, drawn from the key: another key, another wait, but the same one again when a task is repeated."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % (most_ms + 1)
+
+
+def backoff_ms(attempt: Column, initial_ms: int = 100, factor: float = 2.0, cap_ms: int = 10_000, jitter: Column | None = None) -> Column:
+    """Wait before the given retry (1 is the first); the jitter comes on top of it, within the cap."""
+    wait = F.least(F.lit(float(cap_ms)), F.lit(float(initial_ms)) * F.pow(F.lit(factor), attempt - 1)).cast("long")
+    return wait if jitter is None else F.least(F.lit(cap_ms).cast("long"), wait + jitter)
+
+
+def politeness(urls_: DataFrame, base_ms: int = 1000, jitter: Column | None = None, refused: Column | None = None, initial_ms: int = 100, factor: float = 2.0, cap_ms: int = 10_000) -> DataFrame:
+    """``urls_`` (host, rank, crawl_delay_ms, ...) with wait_ms and start_ms: hosts run side by side, each waiting between its own requests.
+
+    Where ``refused`` (the host's robots file was answered with 429 or 5xx) holds for a row, the host backs off longer with each
+    such row in succession; the first that isn't sets it back.
+    """
+    by = Window.partitionBy("host").orderBy("rank")
+    wait = F.coalesce("crawl_delay_ms", F.lit(base_ms)).cast("long") + (F.lit(0) if jitter is None else jitter)
+    rows = urls_
+    if refused is not None:
+        rows = rows.withColumn("_no", F.coalesce(refused, F.lit(False)))
+        rows = rows.withColumn("_run", F.sum(F.when(F.col("_no"), 0).otherwise(1)).over(by))
+        nth = F.sum(F.when(F.col("_no"), 1).otherwise(0)).over(Window.partitionBy("host", "_run").orderBy("rank"))
+        wait = wait + F.when(F.col("_no"), backoff_ms(nth, initial_ms, factor, cap_ms)).otherwise(0)
+    rows = rows.withColumn("wait_ms", wait.cast("long")).drop("_no", "_run")
+    return rows.withColumn("start_ms", F.coalesce(F.sum("wait_ms").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
 # ------------------------------------------------------------------- event log

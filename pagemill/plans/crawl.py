@@ -77,7 +77,7 @@ def crawl(links: DataFrame, seed: str, params: CrawlParams = CrawlParams(), rule
         out = level.join(pages, "url").select(F.col("rank").alias("parent"), "url", F.posexplode("links").alias("ord", "raw"))
         base = F.regexp_replace(urls.path("url"), r"[^/]*$", "") if params.resolve_against_page else F.lit("")
         raw = F.when(~urls.is_absolute("raw") & ~F.col("raw").startswith("/"), F.concat(base, "raw")).otherwise(F.col("raw"))
-        found = out.select(urls.resolve(raw, urls.scheme("url"), urls.authority("url")).alias("to"), "parent", "ord")
+        found = out.select(urls.resolve_on(raw, "url").alias("to"), "parent", "ord")
         if params.same_host:
             found = found.filter(urls.same_host("to", F.lit(host)))
         found = admit(found.select(urls.canonical("to").alias("url"), F.lit(depth).alias("depth"), "parent", "ord"))

@@ -6,16 +6,19 @@ routed and counted; nothing raises. Rows are independent of each other: the plan
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import hashing, urls
 from ..operators import markdown as md
-from ..operators.dom import serialize
-from ..operators.extract import NOT_HTML, ExtractParams, extract
+from ..operators.dom import find, parse, serialize
+from ..operators.extract import NOT_HTML, ExtractParams, count, extract, score
 from ..operators.sanitize import UNPARSEABLE, sanitize
 
 VERSION = "pagemill/0.1"
@@ -72,6 +75,36 @@ def parsed(pages: DataFrame, params: ExtractParams = ExtractParams(), strict_emp
     return narrow.mapInArrow(run, ", ".join(["page_id long", "url string", *(f"{n} {kinds[n]}" for n in columns)]))
 
 
+def measured(pages: DataFrame, params: ExtractParams = ExtractParams(), tags: tuple[str, ...] = ("p", "a", "li", "h1", "h2", "code", "div")) -> DataFrame:
+    """(page_id, text_bytes, solid, paragraphs, headings, links, link_bytes, score of the body element; n_<tag> of the whole tree) of every page; of a null html null."""
+    names = ["text_bytes", "solid", "paragraphs", "headings", "links", "link_bytes"]
+
+    def row(html: str | None) -> list:
+        if html is None:
+            return [None] * (len(names) + 1 + len(tags))
+        tree = parse(html)
+        seen = Counter(n.name for n in tree.elements())
+        c = count(find(tree, "body"))
+        return [*(getattr(c, n) for n in names), score(c, params), *(seen[t] for t in tags)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                columns = list(zip(*map(row, part.column(1).to_pylist()), strict=True))
+                made = [pa.array(c, pa.float64() if k == len(names) else pa.int64()) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["page_id", *names, "score", *(f"n_{t}" for t in tags)])
+
+    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    return narrow.mapInArrow(run, ", ".join(["page_id long", *(f"{n} long" for n in names), "score double", *(f"n_{t} long" for t in tags)]))
+
+
+@F.pandas_udf(StringType())
+def broken_rule(markdown: pd.Series) -> pd.Series:
+    """The first rule of a document's structure that Markdown breaks, or null."""
+    return markdown.map(lambda x: None if x is None else md.check(x))
+
+
 def with_frontmatter(docs: DataFrame, prefixes: tuple[str, ...] = ("/",), algorithm: str = "sha256", version: str = VERSION) -> DataFrame:
     """``docs`` with the fields of a document record: canonical_url, section, doc_id, content_hash, file, crawler_version.
 

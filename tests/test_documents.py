@@ -205,6 +205,31 @@ def test_assets(spark):
     assert set(large[1].values()) == {"asset too large", "network issues"}
 
 
+def test_assets_of_rows_that_share_or_lack_a_rank(spark):
+    ref = [("/i.png", "image"), (None, "image"), ("https://z/j.gif", "image")]
+    rows = [(1, "https://a/p", "![x](/i.png)", ref), (1, "https://b/p", "![x](/i.png)", ref), (None, "https://a/p", "![x](/i.png)", ref), (2, None, "![x](/i.png) ![y](https://z/j.gif)", ref), (2, None, None, None), (3, "https://a/p", "", [])]
+    rows += rows[:1]
+    docs = spark.createDataFrame(rows, "page_rank long, url string, markdown string, refs array<struct<raw:string,kind:string>>").withColumn("use", F.lit("x")).withColumn("path", F.lit("y"))
+    got = assets.resolve(docs, None).collect()
+    assert len(got) == len(rows) and all(r["use"] == "x" and r["path"] == "y" for r in got)
+    by = [(r.page_rank, r.url, r.markdown) for r in got]
+    a = next(m for k, u, m in by if k == 1 and u == "https://a/p")
+    b = next(m for k, u, m in by if k == 1 and u == "https://b/p")
+    assert a != b and "/i.png)" not in a and by.count((1, "https://a/p", a)) == 2 and (None, "https://a/p", a) in by
+    two = next(m for k, u, m in by if k == 2 and m is not None)
+    assert two.startswith("![x](/i.png) ![y](assets/images/j-") and (2, None, None) in by and (3, "https://a/p", "") in by
+    assert assets.resolve(docs.limit(0), None).isEmpty()
+
+
+def test_schedules_with_jitter_and_backoff(spark):
+    df = spark.createDataFrame([("h", k, None, no) for k, no in enumerate([False, True, True, False, True])], "host string, rank int, crawl_delay_ms long, no boolean")
+    got = [r.wait_ms for r in events.politeness(df, 1000, refused=F.col("no")).orderBy("rank").collect()]
+    assert got == [1000, 1100, 1200, 1000, 1100]
+    drawn = [r.x for r in spark.range(300).select(events.jitter_ms(F.col("id"), 9).alias("x")).collect()]
+    assert set(drawn) == set(range(10))
+    assert spark.range(1).select(events.backoff_ms(F.lit(9), jitter=F.lit(400)).alias("x")).first().x == 10_000
+
+
 def test_events_and_journal(spark, tmp_path):
     failures = spark.createDataFrame([("https://h/a", "fetch", "forbidden", 0, None), ("https://h/b", "fetch", "5xx", 3, None), ("https://h/c", "extract", "odd", 0, None)], "url string, stage string, cause string, retry_count int, ts timestamp")
     assert {r.cause: (r.policy, r.canonical_cause) for r in events.classified(failures).collect()} == {"forbidden": ("manual", "unknown"), "5xx": ("auto", "unknown"), "odd": ("never", "unknown")}
