@@ -6,17 +6,20 @@ locator if the plain directory's fields are full, parses the central directory,
 begin from their local headers, and turns the index into byte ranges of the package. Executors then read those
 ranges, several megabytes at a time, and gunzip single records. An archive member without an index is walked
 record by record, as is all of it if a line of an index is bad or places overlap or lie outside, and else the bytes
-that no place covers; a deflated one is inflated as a stream, as it can't be read by ranges.
+that no place covers; a deflated one is inflated on the way, as it can't be read by ranges. A walk reads bounded
+chunks one after the other and holds one record. A line of an index names its archive by the member's path, with or without
+``archive/``; a bare file name counts where one archive alone has it, and else the archives are walked.
 
 Defined results: a null html is a record without payload and comes back null, an empty one empty; null urls and
-ids come back null; equal rows are records of their own; a package that can't be parsed gives one row with
-``error``, as does a record or a line of an index that can't; an empty table gives no package and no rows; other columns are never
-read.
+ids come back null; equal rows are records of their own, alike to the byte; a package that can't be opened or parsed gives one row with
+``error``, as does a record, a line of an index or a range that can't; an empty table gives no package and no rows; a very long
+html is one record, which its task holds whole; other columns are never read.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import struct
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored
 
 PACKAGE_BYTES, RANGE_BYTES, LEVEL = 48 << 20, 4 << 20, 4
-TAIL_BYTES = 1 << 16
+TAIL_BYTES, HEAD_BYTES = 1 << 16, 1 << 20
 
 END, END64, LOCATOR, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -55,6 +58,9 @@ class BadPackage(ValueError):
     pass
 
 
+BROKEN = (ValueError, LookupError, TypeError, EOFError, struct.error, zlib.error)  # what bytes of any kind may raise
+
+
 def central_directory(source, length: int) -> list[Member]:
     """Members of a ZIP or ZIP64 file, from ranges at its end. ``source`` has read_at(nbytes, offset)."""
     tail_at = max(0, length - TAIL_BYTES - 22)
@@ -118,13 +124,13 @@ def is_index(name: str) -> bool:
 
 
 def index_lines(raw: bytes) -> Iterator[tuple[str, int, int] | str]:
-    """(archive's file name, offset, length) of every line, or what is wrong with it; header lines are left out."""
+    """(archive's name, offset, length) of every line, or what is wrong with it; header lines are left out."""
     for k, line in enumerate(raw.split(b"\n"), 1):
         if not line.strip() or line.startswith((b"!", b" CDX")):
             continue
         try:
             got = json.loads(line[line.index(b"{") :])
-            yield str(got.get("filename", "")).rsplit("/", 1)[-1], int(got["offset"]), int(got["length"])
+            yield str(got.get("filename", "")), int(got["offset"]), int(got["length"])
         except (ValueError, KeyError, TypeError) as e:
             yield f"index line {k}: {type(e).__name__}: {e}"[:300]
 
@@ -164,27 +170,73 @@ def parse_record(raw: bytes) -> dict:
     return out
 
 
-def walk(raw: bytes, gz: bool) -> Iterator[bytes]:
-    """The records of a whole archive member, one after the other."""
-    at = 0
-    while not gz and raw[at : at + 2] == b"\r\n":  # a place may leave out the end of its record
-        at += 2
-    while at < len(raw):
-        if gz:
-            d = zlib.decompressobj(31)
-            record = d.decompress(raw[at:])
-            if not d.eof:
-                raise BadPackage("a record is cut off")
-            at = len(raw) - len(d.unused_data)
-            yield record
-        else:
-            end = raw.index(b"\r\n\r\n", at)
-            low = raw[at:end].lower()
-            n = int(low.split(b"content-length:")[1].split(b"\r\n")[0]) if b"content-length:" in low else 0
-            yield raw[at : end + 4 + n]
-            at = end + 4 + n
-            while raw[at : at + 2] == b"\r\n":
-                at += 2
+def chunks(source, begin: int, size: int, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a range, a chunk at a time."""
+    for at in range(begin, begin + size, step):
+        yield bytes(source.read_at(min(step, begin + size - at), at))
+
+
+def inflated(parts: Iterator[bytes], step: int = 1 << 20) -> Iterator[bytes]:
+    """A raw deflated stream, inflated by at most ``step`` bytes at a time."""
+    d = zlib.decompressobj(-15)
+    for part in parts:
+        while part and not d.eof:
+            yield d.decompress(part, step)
+            part = d.unconsumed_tail
+    yield d.flush()
+    if not d.eof:
+        raise BadPackage("a deflated member is cut off")
+
+
+def _content_length(head: bytes) -> int:
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            n = int(value)
+            if n < 0:
+                raise BadPackage("a record of negative length")
+            return n
+    return 0
+
+
+def walk(parts: Iterator[bytes], gz: bool) -> Iterator[bytes]:
+    """The records of an archive member, one after the other, in time linear in its bytes."""
+    if gz:
+        d, held = None, []
+        for part in parts:
+            while part:
+                d = d or zlib.decompressobj(31)
+                held.append(d.decompress(part))
+                part = b""
+                if d.eof:
+                    part = d.unused_data
+                    yield b"".join(held)
+                    d, held = None, []
+        if d is not None:
+            raise BadPackage("a record is cut off")
+        return
+    buffer, seen, need = bytearray(), 0, -1
+    for part in parts:
+        buffer += part
+        at = 0
+        while True:
+            if need < 0:
+                while buffer[at : at + 2] == b"\r\n":
+                    at += 2
+                end = buffer.find(b"\r\n\r\n", max(at, seen))
+                if end < 0:
+                    if len(buffer) - at > HEAD_BYTES:
+                        raise BadPackage("the head of a record has no end")
+                    break
+                need = end + 4 - at + _content_length(bytes(buffer[at:end]))
+            if len(buffer) - at < need:
+                break
+            yield bytes(buffer[at : at + need])
+            at, need, seen = at + need, -1, 0
+        del buffer[:at]
+        seen = max(0, len(buffer) - 3) if need < 0 else 0
+    if buffer.strip(b"\r\n"):
+        raise BadPackage("a record is cut off")
 
 
 # --------------------------------------------------------------------- writer
@@ -198,7 +250,9 @@ def record_bytes(page_id: int | None, url: str | None, html: str | None) -> byte
         payload = html.encode()
         kind, content = "response", "application/http; msgtype=response"
         body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: {uri}\r\n"
+    # named by its content, so that a task that runs again writes the same bytes
+    name = uuid.UUID(bytes=hashlib.sha256(f"{page_id} {url!r} {html is None}".encode() + body).digest()[:16], version=5)
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: {uri}\r\n"
     head += f"X-Row: {json.dumps({'page_id': page_id, 'url': url})}\r\nContent-Type: {content}\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
@@ -293,8 +347,19 @@ def plan_ranges(path: str) -> list[tuple]:
                         else:
                             indexed.setdefault(line[0], []).append(line[1:])
             out = [(path, 0, 0, [], [], "", why) for why in bad]
+            owners: dict[str, list[str]] = {}  # by what an index may call an archive
+            for name in archives:
+                for call in {name, name.removeprefix("archive/"), name.rsplit("/", 1)[-1]}:
+                    owners.setdefault(call, []).append(name)
+            found: dict[str, list[tuple[int, int]]] = {}
+            for call, places in indexed.items():
+                names = [call] if call in archives else [f"archive/{call}"] if f"archive/{call}" in archives else owners.get(call, [])
+                if len(names) == 1:
+                    found.setdefault(names[0], []).extend(places)
+                elif not names:
+                    out.append((path, 0, 0, [], [], "", f"no archive is called {call}"[:300]))
             for name, m in sorted(archives.items()):
-                places = sorted(set(indexed.get(name.rsplit("/", 1)[-1], [])))
+                places = sorted(set(found.get(name, [])))
                 begin = data_offset(source, m)
                 edges = [0, *(x for o, n in places for x in (o, o + n)), m.packed]
                 if m.method or not places or bad or edges != sorted(edges):
@@ -312,7 +377,7 @@ def plan_ranges(path: str) -> list[tuple]:
                     out.append((path, begin + first, last - first, [o - first for o, _ in places[i:j]], [n for _, n in places[i:j]], "gz" if name.endswith(".gz") else "plain", None))
                     i = j
             return out
-    except (OSError, ValueError, struct.error, zlib.error, EOFError) as e:
+    except (OSError, *BROKEN) as e:
         return [(path, 0, 0, [], [], "", f"{type(e).__name__}: {e}"[:300])]
 
 
@@ -320,31 +385,38 @@ RECORDS = "path string, offset long, page_id long, url string, type string, stat
 
 
 def range_records(path: str, begin: int, size: int, offsets: list[int], lengths: list[int], mode: str, error: str | None) -> Iterator[tuple]:
+    def bad(e: Exception, at: int | None) -> tuple:
+        return (path, at, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])
+
+    def good(r: dict, at: int | None) -> tuple:
+        return (path, at, r["page_id"], r["url"], r["type"], r["status"], r["html"], None)
+
     if error:
         yield (path, None, None, None, None, None, None, error)
         return
-    system, local = fs.FileSystem.from_uri(path)
-    with system.open_input_file(local) as source:
-        raw = bytes(source.read_at(size, begin))
-    if mode in ("gz", "plain"):
-        places = zip(offsets, (raw[o : o + n] for o, n in zip(offsets, lengths, strict=True)), strict=True)
-        gz = mode == "gz"
-    else:  # no index, or deflated: the whole member, in order
-        method, _, name = mode.partition(" ")
-        whole = zlib.decompress(raw, -15) if method == "8" else raw
-        places, gz = ((None, r) for r in walk(whole, name.endswith(".gz"))), False
-    while True:
-        at = None
-        try:
-            at, record = next(places)
-            r = parse_record(zlib.decompress(record, 31) if gz else record)
-            yield (path, None if at is None else begin + at, r["page_id"], r["url"], r["type"], r["status"], r["html"], None)
-        except StopIteration:
-            return
-        except (ValueError, zlib.error, IndexError) as e:
-            yield (path, None if at is None else begin + at, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])
-            if at is None:
-                return
+    try:
+        system, local = fs.FileSystem.from_uri(path)
+        with system.open_input_file(local) as source:
+            if mode in ("gz", "plain"):
+                raw = bytes(source.read_at(size, begin))
+                for o, n in zip(offsets, lengths, strict=True):
+                    try:
+                        record = raw[o : o + n]
+                        yield good(parse_record(zlib.decompress(record, 31) if mode == "gz" else record), begin + o)
+                    except BROKEN as e:
+                        yield bad(e, begin + o)
+            else:  # no index, or deflated: the whole member, in order
+                method, _, name = mode.partition(" ")
+                if method not in ("0", "8"):
+                    raise BadPackage(f"{name} is packed by method {method}")
+                parts = chunks(source, begin, size)
+                for record in walk(inflated(parts) if method == "8" else parts, name.endswith(".gz")):
+                    try:
+                        yield good(parse_record(record), None)
+                    except BROKEN as e:
+                        yield bad(e, None)
+    except (OSError, *BROKEN) as e:
+        yield bad(e, None)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -376,8 +448,11 @@ def read_packages(packages: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 yield _batch(rows, _RECORD_SCHEMA)
 
-    ranges = packages.select("path").filter("path is not null").mapInArrow(plan, RANGES)
-    return ranges.repartition("path", "begin").mapInArrow(read, RECORDS)
+    found = packages.select("path").filter("path is not null")
+    ranges = found.mapInArrow(plan, RANGES)
+    # a number of its own: small rows that stand for megabytes each must not be merged into few tasks
+    tasks = max(packages.sparkSession.sparkContext.defaultParallelism, found.count())
+    return ranges.repartition(tasks, "path", "begin").mapInArrow(read, RECORDS)
 
 
 def list_packages(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,3 +111,88 @@ def test_round_trip_drops_no_error(spark, monkeypatch):
     monkeypatch.setattr(wz, "read_packages", lambda p: read(p).withColumn("error", F.lit("broken")))
     with pytest.raises(Exception, match="broken"):
         wz.round_trip(pages(spark, PAGES)).collect()
+
+
+def archive_of(rows):
+    w = wz.PackageWriter()
+    for row in rows:
+        w.add(*row)
+    return w
+
+
+def read_folder(spark, folder):
+    return wz.read_packages(wz.list_packages(spark, str(folder))).collect()
+
+
+def test_what_cannot_be_read_is_a_row(spark, tmp_path):
+    w = archive_of(PAGES)
+    with zipfile.ZipFile(tmp_path / "deflated.zip", "w", 8) as z:
+        z.writestr("archive/a.warc", b"".join(wz.record_bytes(*p) for p in PAGES[:2]) * 50)
+    raw = bytearray((tmp_path / "deflated.zip").read_bytes())
+    raw[60:90] = b"\xff" * 30
+    (tmp_path / "deflated.zip").write_bytes(raw)
+    (tmp_path / "cut.zip").write_bytes(w.bytes()[:-30])
+    (tmp_path / "gone.zip").write_bytes(w.bytes())
+    with zipfile.ZipFile(tmp_path / "lzma.zip", "w", 14) as z:
+        z.writestr("archive/a.warc.gz", w.archive.getvalue())
+    found = wz.list_packages(spark, str(tmp_path))
+    ranges = wz.plan_ranges(f"file://{tmp_path}/gone.zip")
+    rows = wz.read_packages(found).collect()
+    assert {r.path.rsplit("/", 1)[-1] for r in rows if r.error} == {"deflated.zip", "cut.zip", "lzma.zip"}
+    assert key((r.page_id, r.url, r.html) for r in rows if r.path.endswith("gone.zip")) == key(PAGES)
+    (tmp_path / "gone.zip").unlink()  # after the plan was made
+    assert all(r[-1] for x in ranges for r in wz.range_records(*x)) and ranges
+    assert wz.plan_ranges(f"file://{tmp_path}/gone.zip")[0][-1]
+
+
+def test_archives_of_one_name_keep_their_own_records(spark, tmp_path):
+    a, b = archive_of(PAGES[:2]), archive_of(PAGES[3:])
+    for name, calls in (("full", ("archive/x/data.warc.gz", "y/data.warc.gz")), ("bare", ("data.warc.gz", "data.warc.gz"))):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("archive/x/data.warc.gz", a.archive.getvalue())
+            z.writestr("archive/y/data.warc.gz", b.archive.getvalue())
+            z.writestr("indexes/index.cdx", "\n".join(x.replace('"data.warc.gz"', f'"{call}"') for w, call in zip((a, b), calls, strict=True) for x in w.lines))
+    rows = read_folder(spark, tmp_path)
+    assert not [r for r in rows if r.error]
+    assert key((r.page_id, r.url, r.html) for r in rows) == key((PAGES[:2] + PAGES[3:]) * 2)
+
+
+def test_an_index_of_an_absent_archive_is_reported(spark, tmp_path):
+    w = archive_of(PAGES[:1])
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("archive/data.warc.gz", w.archive.getvalue())
+        z.writestr("indexes/index.cdx", w.lines[0].replace("data.warc.gz", "other.warc.gz"))
+    rows = read_folder(spark, tmp_path)
+    assert sum(r.error is None for r in rows) == 1 and [r.error for r in rows if r.error] == ["no archive is called other.warc.gz"]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+@pytest.mark.parametrize("gz", [False, True])
+def test_walk_in_chunks(step, gz):
+    records = [wz.record_bytes(*p) for p in PAGES[:5]]
+    raw = archive_of(PAGES[:5]).archive.getvalue() if gz else b"".join(records)
+    got = list(wz.walk(wz.chunks(as_source(raw), 0, len(raw), step), gz))
+    assert [r.rstrip(b"\r\n") for r in got] == [r.rstrip(b"\r\n") for r in records]
+    with pytest.raises(wz.BadPackage):
+        list(wz.walk(wz.chunks(as_source(raw), 0, len(raw) - 9, step), gz))
+
+
+def test_a_walk_is_linear():
+    import time
+
+    w = archive_of([(k, f"http://a/{k}", "p" * 1000 + str(k) * 50) for k in range(4000)])
+    raw = w.archive.getvalue()
+
+    def cost(times):
+        began = time.process_time()
+        n = sum(1 for _ in wz.walk(wz.chunks(as_source(raw * times), 0, len(raw) * times), True))
+        assert n == 4000 * times
+        return time.process_time() - began
+
+    cost(1)
+    assert cost(16) < 4 * 16 * max(cost(1), 0.02)
+
+
+def test_records_are_alike_each_time():
+    assert archive_of(PAGES).bytes()[:5000] == archive_of(PAGES).bytes()[:5000]
+    assert wz.record_bytes(1, "u", None) != wz.record_bytes(1, "u", "")
