@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete
+
 AUTO, MANUAL, NEVER = "auto", "manual", "never"
 NETWORK, POLICY, CONTENT, STORAGE, INVARIANT, UNKNOWN = "network_failure", "policy_disallow", "content_invalid", "storage_failure", "invariant_violation", "unknown"
 
@@ -142,6 +144,16 @@ def append_journal(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def clear_journal(spark: SparkSession, path: str) -> None:
+    """Empties a journal, whether it is there or not."""
+    delete(spark, path)
+
+
+def count_journal(spark: SparkSession, path: str) -> int:
+    """How many rows wait in a journal."""
+    return read_journal(spark, path).count()
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Journal rows; malformed lines are left out, and a journal that isn't there is empty."""
     try:

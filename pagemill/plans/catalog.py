@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, urls
 from ..operators import assets, events, robots
+from ..sources import responses, sinks
+from ..sources.tables import stored
 from . import crawl, documents
 
 #: Robots files of the robots query; which one a site has, and with what status, follows from the length of its name.
@@ -263,11 +265,30 @@ def normalize_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with images resolved (dry run) and their document records."""
     kept = ("markdown", "refs", "title", "stage", "cause")
-    d = crawl.stored(documents.parsed(_pages(spark, sf_dir), columns=kept).withColumn("page_rank", F.col("page_id")))  # parsed once
+    d = stored(documents.parsed(_pages(spark, sf_dir), columns=kept).withColumn("page_rank", F.col("page_id")))  # parsed once
     done = assets.resolve(d, None)
     return documents.with_frontmatter(done).select("page_id", "canonical_url", "title", "section", "doc_id", "content_hash", "file", "stage", "cause", F.array_join("local", "|").alias("local"))
 
 
+def markdown_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the Markdown sink would write, dry."""
+    return sinks.write_markdown(documents.documents(_pages(spark, sf_dir))).select("url_hash", "path", "content_hash", "cause")
+
+
+def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five attempts a page, with answers that follow from page_id, and the one that counts of at most four."""
+    status = F.element_at(F.array(*map(F.lit, (503, 429, None, 200, 403, 200, 500))), ((F.col("page_id") * 3 + F.col("attempt") * (F.col("page_id") % 4 + 1)) % 7 + 1).cast("int"))
+    each = _pages(spark, sf_dir).select("page_id", "url", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
+    attempts = each.select(F.concat_ws(" ", "page_id", "url").alias("url"), "attempt", status.alias("status"), F.lit("text/html").alias("content_type"), F.lit(b"x").alias("body"))
+    return responses.settled(attempts, max_attempt=4).select("url", "status", "tries", "wait_ms", "cause")
+
+
+def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By depth, how many pages of the nations' graph were admitted and how many still wait when the regions are done."""
+    admitted, _ = crawl.crawl(_nation_web(spark, sf_dir), "https://h/r/0", crawl.CrawlParams(max_depth=4, max_pages=0))
+    return crawl.progress(admitted, admitted.filter(F.col("url").contains("/r/")))
+
+
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole site of the first page, at any depth, over whole-page links."""
     p = _pages(spark, sf_dir)
@@ -280,7 +301,7 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     url_canonicalize, url_dedup_first, url_host_filter, url_section, url_resolve, url_display, doc_id_sha256, links_extract, links_kind_count, link_kinds, links_resolve_same_host, link_graph_degree, robots_decide,
     tag_counts, content_score, link_density_filter, title_extract, draft_checks, image_rewrite, asset_path, content_dedup, event_stats, event_kinds, event_rollup, journal_rows, retry_backoff_schedule,
-    politeness_schedule, error_classify, bfs_levels, crawl_order, extract_main, sanitize_doc, to_markdown, normalize_doc, pipeline_full, crawl_bfs,
+    politeness_schedule, error_classify, bfs_levels, crawl_order, extract_main, sanitize_doc, to_markdown, normalize_doc, pipeline_full, markdown_manifest, fetch_retries, crawl_progress, crawl_bfs,
 )
 
 

@@ -177,6 +177,19 @@ SELECT url, CAST(depth AS INT) AS depth, CAST(row_number() OVER (ORDER BY depth,
     "to_markdown": f"{_DOM} SELECT page_id, markdown, CASE WHEN layer IS NOT NULL THEN '' END AS refs FROM doc",
     "normalize_doc": f"{_DOM} SELECT page_id, title, section, {_HASHES}, stage, cause FROM final",
     "pipeline_full": f"{_DOM} SELECT page_id, canonical_url, title, section, {_HASHES}, CASE WHEN cause IS NULL THEN sha256(canonical_url)[1:12] || '.md' END AS file, stage, cause, '' AS local FROM final",
+    "markdown_manifest": f"""{_DOM}, files AS (SELECT page_id, sha256(canonical_url) AS u, sha256(markdown) AS m FROM final WHERE cause IS NULL QUALIFY row_number() OVER (PARTITION BY sha256(canonical_url)[1:12] ORDER BY page_id) = 1)
+SELECT u[1:12] AS url_hash, u[1:12] || '.md' AS path, 'sha256:' || m AS content_hash, CAST(NULL AS VARCHAR) AS cause FROM files""",
+    "fetch_retries": """
+WITH a AS (SELECT page_id, page_id || ' ' || url AS url, k AS attempt, [503, 429, NULL, 200, 403, 200, 500][(page_id * 3 + k * (page_id % 4 + 1)) % 7 + 1] AS status FROM pages, range(1, 6) t(k)),
+b AS (SELECT *, CASE WHEN status IS NULL THEN 'network issues' WHEN status >= 500 THEN '5xx' WHEN status = 429 THEN 'too many requests' WHEN status >= 400 THEN 'forbidden' END AS cause FROM a),
+c AS (SELECT *, coalesce(cause IN ('network issues', '5xx', 'too many requests'), false) AND attempt < 4 AS again FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY again, attempt) AS k, CASE WHEN attempt > 1 THEN 100 * pow(2, attempt - 2) ELSE 0 END AS wait FROM c),
+e AS (SELECT url, status, cause, attempt AS tries FROM d WHERE k = 1)
+SELECT url, CAST(status AS INT) AS status, CAST(tries AS INT) AS tries, CAST(CASE WHEN tries > 1 THEN 100 * (pow(2, tries - 1) - 1) ELSE 0 END AS BIGINT) AS wait_ms, cause FROM e""",
+    "crawl_progress": """
+WITH RECURSIVE e AS (SELECT 'https://h/r/' || n_regionkey AS a, 'https://h/n/' || n_nationkey AS b FROM nation UNION SELECT 'https://h/n/' || n_nationkey, 'https://h/r/' || n_nationkey % 5 FROM nation UNION SELECT 'https://h/n/' || n_nationkey, 'https://h/r/' || n_nationkey % 3 FROM nation),
+w(url, depth) AS (SELECT 'https://h/r/0', 0 UNION SELECT b, depth + 1 FROM w JOIN e ON a = url WHERE depth < 4), m AS (SELECT url, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1)
+SELECT depth, count(*) AS admitted, count(*) FILTER (url NOT LIKE '%/r/%') AS waiting FROM m GROUP BY 1""",
     "crawl_bfs": f"""
 WITH RECURSIVE e AS (SELECT DISTINCT {_C} AS a, {canonical('resolved')} AS b FROM (SELECT *, {_RESOLVED} AS resolved FROM {_LINKS})),
 s AS (SELECT arg_min(url, page_id) AS url FROM pages), h AS (SELECT {_host('url')} AS host FROM s),

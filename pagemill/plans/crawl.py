@@ -7,15 +7,14 @@ lineage. Ranks grow with the order and needn't be consecutive, so no step runs i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import robots as rb
+from ..sources.tables import stored
 
 ADMITTED = "url string, depth int, rank long"
 
@@ -28,20 +27,6 @@ class CrawlParams:
     resolve_against_page: bool = False
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:  # set nowhere, as in tests
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _ranked(candidates: DataFrame, base: int) -> DataFrame:
     # sorted ranges are numbered in their order
     return stored(candidates.orderBy("parent", "ord").withColumn("rank", F.monotonically_increasing_id() + F.lit(base)).select("url", "depth", "rank"))
@@ -92,3 +77,9 @@ def crawl(links: DataFrame, seed: str, params: CrawlParams = CrawlParams(), rule
         count += new
         visited = visited.unionByName(level)
     return visited, skipped
+
+
+def progress(admitted: DataFrame, done: DataFrame) -> DataFrame:
+    """(depth, admitted, waiting) of a crawl, given the urls that are done: the lowest depth with any waiting is the one in work."""
+    marked = admitted.join(done.select("url").distinct().withColumn("_done", F.lit(True)), "url", "left")
+    return marked.groupBy("depth").agg(F.count(F.lit(1)).alias("admitted"), F.count(F.when(F.col("_done").isNull(), 1)).alias("waiting"))
