@@ -9,12 +9,15 @@ of the verified pairs.
 
 Equal texts are one text from the start. In each band bucket every text is first compared to the smallest
 one, and only pairs that this leaves in different components are compared to each other, which gives the same
-components as all pairs and stays linear when a bucket is full of copies of one text.
+components as all pairs and stays linear when a bucket is full of copies of one text. Of the others, a pair
+whose estimate can reach the floor agrees in so many registers that the two share one of the rarest of each
+(prefix filtering, which loses nothing): texts are compared only where a rare register brings them together, not
+where all of the bucket has the same boilerplate.
 
 Defined results: a null text, or one without any word, is in no group; a text of fewer words than a shingle is
 one shingle; of a group the smallest doc_id stays (nulls last, then the smallest digest); rows equal in text
-and doc_id count as one document of which one row stays; an empty table gives an empty result; other columns
-are carried along and never read.
+and doc_id count as one document of which one row stays; very long texts are shingled whole, a block of rows or one
+text at a time; an empty table gives an empty result; other columns are carried along and never read.
 """
 
 from __future__ import annotations
@@ -172,6 +175,56 @@ def _estimated(floor: float):
     return run
 
 
+FEW, PAIRS = 48, 1 << 21
+
+
+def _apart(regs: np.ndarray, part: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows from different parts, among them all whose estimate can reach ``floor``."""
+    m, width = regs.shape
+    if m <= FEW:  # all of so few are as soon compared
+        a, b = np.triu_indices(m, 1)
+        apart = part[a] != part[b]
+        yield a[apart], b[apart]
+        return
+    there = regs > 0
+    token = (np.arange(width, dtype=np.int64) << 16) + regs
+    _, name, count = np.unique(token[there], return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))  # rarest first
+    often = np.sort(count)
+    ranked = np.full((m, width), len(count), np.int64)
+    ranked[there] = rank[name]
+    ranked.sort(axis=1)
+    # at least floor * registers of either must agree, so that many of a row's registers, the commonest, can be left out but one
+    size = there.sum(axis=1)
+    prefix = size - np.maximum(1, np.ceil(floor * size - 1e-9).astype(np.int64)) + 1
+    member, column = np.nonzero(np.arange(width) < prefix[:, None])
+    key = ranked[member, column]
+    shared = often[key] > 1
+    member, key = member[shared], key[shared]
+    order = np.argsort(key, kind="stable")
+    member, key = member[order], key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    end = np.repeat(np.append(head[1:], len(key)), np.diff(np.append(head, len(key))))
+    at, step, held, n = np.arange(len(key)), 1, [], 0
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        a, b = member[at], member[at + step]
+        apart = part[a] != part[b]
+        held.append(a[apart] * m + b[apart])
+        n += len(held[-1])
+        if n >= PAIRS:
+            code = np.unique(np.concatenate(held))
+            yield code // m, code % m
+            held, n = [], 0
+        step += 1
+    if n:
+        code = np.unique(np.concatenate(held))
+        yield code // m, code % m
+
+
 def _cross(floor: float):
     """Of one band bucket, the pairs from different components that the estimate lets pass."""
 
@@ -179,13 +232,12 @@ def _cross(floor: float):
         node, part, n = (group[c].to_numpy() for c in ("node", "component", "n"))
         regs = _regs(group["regs"])
         left, right = [], []
-        for i in range(len(node) - 1):
-            at = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-            for k in range(0, len(at), 4096):
-                some = at[k : k + 4096]
-                good = some[estimate(regs[i : i + 1], regs[some], n[i], n[some]) >= floor]
-                left.append(np.full(len(good), node[i]))
-                right.append(node[good])
+        for a, b in _apart(regs, part, floor):
+            for k in range(0, len(a), 1 << 16):
+                i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                good = estimate(regs[i], regs[j], n[i], n[j]) >= floor
+                left.append(node[i[good]])
+                right.append(node[j[good]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 

@@ -121,3 +121,36 @@ def test_rows_that_stay_match_brute_force(spark, monkeypatch, most):
 def test_empty_table(spark):
     assert nd.drop_near_repeats(docs(spark, [])).collect() == []
     assert nd.near_repeats(docs(spark, [])).collect() == []
+
+
+def boilerplate_bucket(m, seed=1):
+    """Registers of texts that share a fifth of them, with a few near copies among them."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(1, 60_000, 128).astype(np.uint16)
+    regs = rng.integers(1, 60_000, (m, 128)).astype(np.uint16)
+    regs[:, :26] = common[:26]
+    for k in range(0, m - 1, 50):
+        same = rng.random(128) < rng.choice([0.3, 0.5, 0.8])
+        regs[k + 1, same] = regs[k, same]
+    regs[rng.random((m, 128)) < 0.05] = 0
+    return regs
+
+
+@pytest.mark.parametrize("m", [2, 40, 60, 700])
+def test_pairs_of_a_bucket_equal_all_pairs(m):
+    regs, floor = boilerplate_bucket(m), nd.THRESHOLD - nd.SLACK
+    part = np.arange(m) % (m - 1)
+    n = np.full(m, 300)
+    want = {(a, b) for a in range(m) for b in range(a + 1, m) if part[a] != part[b] and nd.estimate(regs[[a]], regs[[b]], n[[a]], n[[b]])[0] >= floor}
+    got = set()
+    for a, b in nd._apart(regs, part, floor):
+        good = nd.estimate(regs[a], regs[b], n[a], n[b]) >= floor
+        got |= {(min(x, y), max(x, y)) for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True)}
+    assert got == want and (m < 60 or want)
+
+
+def test_a_large_bucket_of_boilerplate_is_not_compared_pair_by_pair():
+    m = 20_000
+    regs = boilerplate_bucket(m)
+    tested = sum(len(a) for a, _ in nd._apart(regs, np.arange(m), nd.THRESHOLD - nd.SLACK))
+    assert tested < 0.02 * m * m / 2
