@@ -10,7 +10,8 @@ much as any other.
 
 Defined results: a null text is never a repeat and stays; an empty text is a text like any other; of equal
 texts the smallest doc_id stays (a null doc_id only when all are null); of rows equal in text and doc_id one
-stays; an empty table gives an empty result; other columns are carried along and never read.
+stays; a very long text is digested in the JVM like any other; an empty table gives an empty result; other columns are
+carried along and never read.
 """
 
 from __future__ import annotations
@@ -27,13 +28,18 @@ PER_SHARD = 200_000
 GAMMA = 2.0
 
 
-def _level_hash(head: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix64(head ^ mix64(np.full(1, level + 1, np.uint64))) % np.uint64(size)).astype(np.int64)
+def _level_hash(digests: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A place of its own at every level, from all 32 bytes, so that only equal digests meet at each."""
+    salt = mix64(np.arange(1, 5, dtype=np.uint64) + np.uint64(4 * level))
+    out = np.zeros(len(digests), np.uint64)
+    for k in range(4):
+        out = mix64(out ^ digests[:, k] ^ salt[k])
+    return (out % np.uint64(size)).astype(np.int64)
 
 
 def build_mph(digests: np.ndarray) -> tuple[list[int], np.ndarray]:
     """(sizes of the levels, their bits in a row) of a minimal perfect hash over distinct 32-byte digests, given as n x 4 uint64."""
-    left, sizes, parts, level = digests[:, 0] ^ mix64(digests[:, 1]), [], [], 0
+    left, sizes, parts, level = digests, [], [], 0
     while len(left):
         size = max(64, int(len(left) * GAMMA))
         at = _level_hash(left, level, size)
@@ -43,17 +49,16 @@ def build_mph(digests: np.ndarray) -> tuple[list[int], np.ndarray]:
         left = left[~bits[at]]
         level += 1
         if level > 200:
-            raise ValueError("two different digests agree in their first 16 bytes")
+            raise ValueError("a digest stands twice")
     return sizes, np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 def mph_slots(digests: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
     """The slot of every digest; for a nonmember any slot, or -1."""
     ranks = np.concatenate([[0], np.cumsum(bits)])
-    keys = digests[:, 0] ^ mix64(digests[:, 1])
-    out, todo, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+    out, todo, base = np.full(len(digests), -1, np.int64), np.arange(len(digests)), 0
     for level, size in enumerate(sizes):
-        at = base + _level_hash(keys[todo], level, size)
+        at = base + _level_hash(digests[todo], level, size)
         hit = bits[at]
         out[todo[hit]] = ranks[at[hit]]
         todo = todo[~hit]
