@@ -2,7 +2,7 @@
 
 A text's length is its number of UTF-8 bytes (a byte-level vocabulary; any other length column can be named).
 Texts longer than ``capacity`` are cut into pieces of that length and a rest. The histogram of piece lengths,
-rounded up to ``capacity / CLASSES``, is the only thing that leaves the cluster: at most ``CLASSES`` numbers
+rounded up to a grain of at least ``capacity / CLASSES``, is the only thing that leaves the cluster: at most ``CLASSES`` numbers
 whatever the input. On it the configuration program (as few bins as possible, each filled by one
 configuration of lengths, all pieces covered) is solved by multiplicative weights: in every round an
 unbounded-knapsack dynamic program finds the configuration worth most under the classes' weights, and the
@@ -12,7 +12,9 @@ within their length class.
 
 Defined results: a null or empty text has no piece and appears once, without a bin; rows equal in every column
 are packed each for itself; ties in a class are dealt in the order of doc_id and text; an empty table gives an
-empty result; other columns are never read.
+empty result; a very long text makes as many pieces as it needs; a capacity that isn't a multiple of its grain is used
+down to the last whole grain, so no bin is ever over it, and one below ``classes`` has a class for each length; a
+capacity or number of classes below 1, or a negative length, is an error; other columns are never read.
 """
 
 from __future__ import annotations
@@ -130,6 +132,7 @@ def plan(counts: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> tuple[
 def _pieces(docs: DataFrame, capacity: int, length: Column | None) -> DataFrame:
     text = F.col("text").cast("string")
     whole = F.coalesce((F.octet_length(text) if length is None else length).cast("long"), F.lit(0))
+    whole = F.when(whole >= 0, whole).otherwise(F.raise_error(F.lit("a negative length")).cast("long"))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), whole.alias("whole"))
     each = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)))))
     return each.select("doc_id", "tie", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).cast("long").alias("start"), F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("int").alias("length"))
@@ -148,8 +151,12 @@ def _dealt(spark: SparkSession, bins: list[tuple[np.ndarray, int]], classes: int
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, rounds: int = ROUNDS, step: float = STEP, length: Column | None = None) -> DataFrame:
     """(doc_id, piece, start, length, bin): each piece of every document, and the bin that it goes to."""
+    if capacity < 1 or classes < 1:
+        raise ValueError("capacity and classes must be at least 1")
     spark = docs.sparkSession
-    grain = capacity // classes
+    grain = -(-capacity // classes)
+    classes = capacity // grain  # all that fits is a whole number of grains
+    capacity = classes * grain
     # stored: ranks and plan must come from one and the same set of rows
     pieces = stored(_pieces(docs, capacity, length).withColumn("class", F.ceil(F.col("length") / grain).cast("int")))
     histogram = pieces.filter("length > 0").groupBy("class").count().collect()
