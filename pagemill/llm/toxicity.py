@@ -7,13 +7,16 @@ times the unlabelled one and ``MIN_SCORE`` standard errors above it) are kept, a
 the class-prior-corrected risk  pi * R+(f) + max(0, Ru-(f) - pi * R+-(f)); in a step in which the bracket is negative the
 gradient turns to undo it, so the classifier can't win by driving the corrected risk below zero.
 
-The sample has at most ``SAMPLE_POSITIVE`` confirmed toxic and ``SAMPLE_UNLABELLED`` documents of any kind,
-those with the smallest hash of doc_id, read whole; the prior is the share of toxic among the labels. Every document
-is scored whole.
+The sample has at most ``sample_positive`` confirmed toxic and ``sample_unlabelled`` documents of any kind (parameters of
+``fit`` and all that calls it), those with the smallest hash of doc_id, read whole. The prior is ``prior`` where it is given,
+else the share of toxic among the labels; where these confirm toxic documents only, as positive-unlabelled data may,
+the share says nothing, and the prior is ``DEFAULT_PRIOR``. It is kept within ``PRIORS``, as the risk has none of one of the
+classes at 0 or 1. Every document is scored whole.
 
 Defined results: a null text, or one without words, gets no score and is not toxic; equal rows get equal
 scores; null labels confirm nothing; a document with several labels is confirmed if one says toxic; without
-confirmed examples nothing is toxic; an empty table gives an empty result; other columns are never read.
+confirmed examples nothing is toxic; very long texts are scored as any other; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 9000
 MIN_POSITIVE, MIN_SHARE, MIN_LIFT, MIN_SCORE = 3, 0.005, 3.0, 5.0
 STEPS, RATE, DECAY = 600, 0.05, 1e-5
 THRESHOLD = 0.5
+DEFAULT_PRIOR, PRIORS = 0.1, (1e-4, 0.9)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,17 +148,18 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array([p.tobytes() for p in parts], pa.binary())], ["toxic", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> Model:
     """The classifier of a corpus: its bounded sample, whole texts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     # bounded by the sample sizes from here on
-    confirmed = marks.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_POSITIVE)
-    prior = marks.agg(F.avg("toxic")).first()[0]
-    if not prior:
+    confirmed = marks.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_positive)
+    share = marks.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
+    if not share:
         return Model(np.zeros(1 << BITS, np.float32), -30.0, 0.0)
+    prior = float(np.clip(prior if prior is not None else share if share < 1 else DEFAULT_PRIOR, *PRIORS))
     # unlabelled: any document, confirmed or not, so that it is a mixture with the prior's share of toxic ones
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    mixed = known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(SAMPLE_UNLABELLED)
+    mixed = known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(sample_unlabelled)
     ids = confirmed.withColumn("toxic", F.lit(True)).unionByName(mixed.withColumn("toxic", F.lit(False)))
     rows = doc_columns(docs).filter("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic")
     found = rows.mapInArrow(_sample_features, "toxic boolean, features binary").toArrow()
@@ -165,12 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         some = sorted(some, key=bytes)
         return np.concatenate(some or [np.zeros(0, np.int32)]), np.repeat(np.arange(len(some)), [len(x) for x in some]), len(some)
 
-    return train(pack([x for x, t in zip(blobs, toxic, strict=True) if t]), pack([x for x, t in zip(blobs, toxic, strict=True) if not t]), float(prior))
+    return train(pack([x for x, t in zip(blobs, toxic, strict=True) if t]), pack([x for x, t in zip(blobs, toxic, strict=True) if not t]), prior)
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of every row; null where there is no word."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def scores(docs: DataFrame, labels: DataFrame, **fitting: float | None) -> DataFrame:
+    """(doc_id, score) of every row; null where there is no word. ``fitting`` goes to ``fit``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +185,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting: float | None) -> DataFrame:
     """(doc_id, score) of the rows that are toxic."""
-    return scores(docs, labels).filter(F.col("score") >= threshold)
+    return scores(docs, labels, **fitting).filter(F.col("score") >= threshold)

@@ -112,6 +112,48 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.toxic(df, labels.limit(0)).isEmpty()
 
 
+def test_labels_that_only_confirm_train_a_classifier(spark):
+    rows = [(k, "vile filth scum " * 3 + f"w{k}") for k in range(40)] + [(100 + k, f"calm sea and wind n{k} over the hill") for k in range(400)]
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic(docs(spark, rows), labels).collect()}
+    assert found == set(range(40))
+    assert {r.doc_id for r in toxicity.toxic(docs(spark, rows), labels, prior=0.09, sample_unlabelled=200, sample_positive=15).collect()} == found
+    assert toxicity.toxic(docs(spark, rows), labels.withColumn("toxic", F.lit(0))).isEmpty()
+
+
+def test_training_equals_a_dense_and_slow_version():
+    rng = np.random.default_rng(2)
+    kinds, np_, nu, prior = 12, 60, 300, 0.2
+    xp, xu = rng.random((np_, kinds)) < 0.03, rng.random((nu, kinds)) < 0.03
+    xp[:, :4] |= rng.random((np_, 4)) < 0.6
+    xu[: nu // 10, :4] |= rng.random((nu // 10, 4)) < 0.6
+    sparse = lambda x: (np.nonzero(x)[1].astype(np.int32), np.nonzero(x)[0].astype(np.int64), len(x))
+    model = toxicity.train(sparse(xp), sparse(xu), prior)
+    kept = np.flatnonzero(model.weights[:kinds])
+    assert set(kept) == set(range(4))
+
+    def risk(w, b):
+        loss = lambda z: math.log1p(math.exp(-z))
+        zp, zu = [float(x[kept] @ w + b) for x in xp], [float(x[kept] @ w + b) for x in xu]
+        bracket = np.mean([loss(-z) for z in zu]) - prior * np.mean([loss(-z) for z in zp])
+        return prior * np.mean([loss(z) for z in zp]) + bracket, bracket
+
+    w, b = np.zeros(4), math.log(prior / (1 - prior))
+    m, v = np.zeros(5), np.zeros(5)
+    for step in range(1, toxicity.STEPS + 1):
+        total, bracket = risk(w, b)
+        g = np.zeros(5)
+        for i in range(5):
+            d = np.eye(5)[i] * 1e-5
+            hi, lo = risk(w + d[:4], b + d[4]), risk(w - d[:4], b - d[4])
+            g[i] = (hi[0] - lo[0]) / 2e-5 if bracket >= 0 else -(hi[1] - lo[1]) / 2e-5
+        g[:4] += toxicity.DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:4], b - move[4]
+    assert model.weights[kept] == pytest.approx(w, rel=0.05, abs=0.05) and model.bias == pytest.approx(b, rel=0.05, abs=0.05)
+
+
 def test_negative_bracket_turns_the_gradient():
     x = (np.zeros(3, np.int64), np.arange(3), 3)
     u = (np.zeros(0, np.int64), np.zeros(0, np.int64), 3)
@@ -161,6 +203,45 @@ def test_packing_edge_cases(spark):
     assert packing.pack(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize(("capacity", "classes"), [(1000, 256), (100, 256), (7, 3), (1, 1), (300, 1)])
+def test_any_capacity_packs(spark, capacity, classes):
+    rows = [(k, "y" * (k * 37 % 400)) for k in range(120)]
+    got = packing.pack(docs(spark, rows), capacity=capacity, classes=classes, rounds=30).filter("bin is not null").collect()
+    load: dict[int, int] = {}
+    for r in got:
+        load[r.bin] = load.get(r.bin, 0) + r.length
+    assert max(load.values()) <= capacity and sum(load.values()) == sum(len(t) for _, t in rows)
+    whole: dict[int, list] = {}
+    for r in got:
+        whole.setdefault(r.doc_id, []).append((r.start, r.start + r.length))
+    for k, parts in whole.items():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] == len(rows[k][1]) and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    with pytest.raises(ValueError):
+        packing.pack(docs(spark, rows), capacity=0)
+
+
+def test_dealing_equals_brute_force(spark, monkeypatch):
+    """Every piece goes to the bin that a walk over the plan's configurations gives its rank within its class."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 30)  # classes are ranked in several parts
+    rows = [(k, "y" * (1 + k * 53 % 700)) for k in range(300)]
+    got = packing.pack(docs(spark, rows), capacity=1024, classes=64, rounds=50).filter("bin is not null").collect()
+    size = lambda n: -(-n // 16)
+    counts = np.zeros(64, np.int64)
+    for r in got:
+        counts[size(r.length) - 1] += 1
+    bins, _ = packing.plan(counts, 50)
+    want, b = {}, 0
+    for used, number in bins:
+        for _ in range(number):
+            want[b] = sorted(int(s) + 1 for s in np.flatnonzero(used) for _ in range(used[s]))
+            b += 1
+    held: dict[int, list[int]] = {}
+    for r in got:
+        held.setdefault(r.bin, []).append(size(r.length))
+    assert {k: sorted(v) for k, v in held.items()} == want
+
+
 def test_packing_query_at_sf(spark):
     got = queries.op3_best_fit_packing(spark, "/root/testdata/sf0.01").groupBy("bin").agg(F.sum("length").alias("n")).filter("bin is not null").collect()
     assert max(r.n for r in got) <= packing.CAPACITY
