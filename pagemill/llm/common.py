@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder as shared_dir
+from ..sources.tables import stored, stored_bytes
+
+__all__ = ["bounded", "shared_dir", "stored"]
+
 CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -37,32 +40,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own:
-        return own.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read back: its lineage ends there, and losing an executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
 
 
 def bounded(table: DataFrame, most: int | None = None) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it has at most ``most`` rows; a larger one is left to a shuffle."""
-    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if most is None else most) else table
+    """A stored table, to be broadcast if it has at most ``most`` rows in files of ``BROADCAST_BYTES``; a larger one is left to a shuffle."""
+    small = stored_bytes(table) <= BROADCAST_BYTES and table.count() <= (BROADCAST_ROWS if most is None else most)
+    return F.broadcast(table) if small else table
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import last_stored, mark, release
 from .common import stored
 
 
@@ -22,12 +23,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that an edge (a, b) of longs touches; the component's name is its smallest node."""
+    since = mark()
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    seen = None
     while True:
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == tuple(found):
+        if seen == tuple(found):
             break
-        mark = tuple(found)
+        seen = tuple(found)
         now = stored(_small_star(_large_star(now).distinct()).distinct())
+        release(edges.sparkSession, since, keep=(last_stored(),))  # the round before is read no more
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
