@@ -40,17 +40,18 @@ def brute_code_length(model_texts: list[str], langs: list[str], text: str, order
         bits, seq = 0.0, [start] * order + list(text.encode())
         for i in range(order, len(seq)):
             deepest = max(d for d in range(order + 1) if tuple(seq[i - d : i]) in tree and all(tuple(seq[i - e : i]) in tree for e in range(d + 1)))
-            p, weight, done = 0.0, 1.0, False
+            weight, p, known = 1.0, None, set()
             for d in range(deepest, -1, -1):
-                own = counts[n].get(tuple(seq[i - d : i]), {})
+                own = {x: c for x, c in counts[n].get(tuple(seq[i - d : i]), {}).items() if x not in known}
                 if not own:
                     continue
                 size, kinds = sum(own.values()), len(own)
                 if seq[i] in own:
-                    p, done = weight * own[seq[i]] / (size + kinds), True
+                    p = weight * own[seq[i]] / (size + kinds)
                     break
                 weight *= kinds / (size + kinds)
-            bits -= math.log2(p if done else weight / 256)
+                known |= set(own)
+            bits -= math.log2(weight / (256 - len(known)) if p is None else p)
         out[n] = bits
     return out
 
@@ -67,6 +68,14 @@ def test_code_lengths_equal_brute_force():
         assert got[k] == pytest.approx([want[n] for n in model.langs], abs=0.01)
 
 
+def test_probabilities_sum_to_one_in_every_context():
+    model = langid.train(["the cat sat on the mat and the hat", "le chat est sur la table et le tapis"] * 4, ["en", "fr"] * 4, 3, 3)
+    p = 2.0 ** (-model.cost.reshape(-1, model.width, 2) / langid.FIXED)
+    unseen = 256 - (model.width - 2)  # bytes that stand for symbol 0; the last symbol is no byte
+    total = p[:, 1:-1].sum(1) + unseen * p[:, 0]
+    assert np.delete(total, 1, axis=0) == pytest.approx(1, abs=1e-3)  # node 1 is the dead end
+
+
 def test_language_held_out():
     d = sample("sf0.01")
     d = d[d.text.str.len() > 200]
