@@ -1,14 +1,15 @@
 """Fuzzy search for short licence notices.
 
-A notice may differ from its pattern by up to ``max_errors`` inserted, deleted or substituted characters. By the
-pigeonhole principle, of a pattern split into max_errors + 1 seeds at least one stands unchanged in every such
+A notice may differ from its pattern by up to ``max_errors`` inserted, deleted or substituted characters, and by no more than
+one for every eight characters of the pattern ("all rights reserved": two), as a short one would else be found in
+anything. By the pigeonhole principle, of a pattern split into one seed more than that at least one stands unchanged in every such
 notice; one Aho-Corasick pass over the case-folded text finds all seeds of all patterns, each hit names a window
 in which the notice would have to lie, and the regex library's bounded-error matching decides and reports the
 spans. Overlapping windows of a pattern are joined first, so every candidate is matched whole.
 
 Defined results: offsets are characters of the text (case folding here keeps lengths); reported spans never
 overlap: of overlapping matches the one with fewest edits stays, then the longest, leftmost, first listed; null and
-empty texts have none; equal rows give equal results; an empty table gives an empty result; other columns are
+empty texts have none; a very long text is searched whole; equal rows give equal results; an empty table gives an empty result; other columns are
 never read. A notice has to keep one seed, which holds for any with at most max_errors edits.
 """
 

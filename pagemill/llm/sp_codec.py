@@ -10,7 +10,7 @@ so neighbours can share source bytes but none is empty, except for the space put
 Keys are looked for in all positions of a block at once, by their first three bytes; only the few positions
 that pass are walked through the trie.
 
-Defined results: a null text has null arrays; an empty one has empty ones; equal rows get equal results; an
+Defined results: a null text has null arrays; an empty one has empty ones; a very long one is encoded whole, by itself; equal rows get equal results; an
 empty table gives an empty result; other columns are never read. The model must have byte pieces for what it
 lacks, as unknown pieces have no length of their own.
 """

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, docs
+from tests.llm.helpers import DOCS, docs, with_clashes
 
 WORDS = "amber basin cedar delta ember fjord grove haven inlet jetty knoll ledge marsh north ocean plain quarry ridge stone trail".split()
 
@@ -50,3 +51,28 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         assert out.isEmpty(), name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == empty.columns and [f.dataType for f in out.schema] == [f.dataType for f in DOCS], name
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    long = prose(1, 9000)
+    rows = [(1, long), (1, long), (2, long), (None, prose(2, 200)), (None, prose(2, 200)), (3, prose(3, 200)), (4, prose(3, 200).upper()), (5, None), (5, ""), (None, None), (6, "x")]
+    df = with_clashes(docs(spark, rows))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, df, "").write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        assert out.columns == df.columns and out.filter("digest <> 'x-digest' or kept <> 'x-kept'").isEmpty()
+        df = out
+    kept = sorted(((r.doc_id is None, r.doc_id or 0), len(r.text), r.n_chars) for r in df.collect())
+    assert [k for k, _, _ in kept if k != (False, 6)] == [(False, 1), (False, 3), (True, 0)] and all(n == c for _, n, c in kept)
+    whole = corpus_pipeline.STAGES[-1][1](spark, df, "").collect()
+    assert sum(r.length for r in whole if r.doc_id == 1) == len(long) and sum(r.doc_id == 1 for r in whole) > 1
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    rows, _ = fixture()
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = corpus_pipeline.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    (made,) = set(os.listdir(folder)) - before
+    assert made.startswith("pipeline-") and len(os.listdir(f"{folder}/{made}")) == 1 and out.count() > 0
