@@ -1,9 +1,14 @@
 """Suffix arrays by induced sorting, in numpy, and permuted longest common prefixes.
 
-``suffix_array`` classifies the suffixes of a byte string as S (smaller than the next) or L, sorts the
-leftmost S-type (LMS) substrings, names them, sorts the string of names (recursively while it has few names,
-else by rank doubling, since a bucket-wise pass in numpy only pays with few buckets), and induces the L-type
-and then the S-type suffixes from the LMS suffixes, one pass over the buckets each: linear work.
+``suffix_array`` classifies the suffixes of a string as S (smaller than the next) or L, and its leftmost S-type (LMS)
+places. It induces the order of the LMS substrings from the LMS places in any order of their buckets, names them
+by comparing neighbours, sorts the string of names by calling itself until no name stands twice, and induces the
+L-type and then the S-type suffixes from the sorted LMS suffixes. All of it is linear work.
+
+A suffix induces the one before it, which goes into the bucket of its own first symbol. Buckets are taken many at
+once: from a first bucket on as far as none is reached from another one among them, which for a large alphabet is
+about a root of the length in buckets. Runs of one symbol, which reach their own bucket, go in by how far from the end of the run they are.
+
 ``permuted_lcp`` compares only at irreducible positions (those whose predecessor byte differs from that of
 their neighbour in the array) and fills the others, each one less than the position before.
 """
@@ -12,7 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 
-FEW_NAMES = 1024
+#: Called with (length, names) at every recursion, for tests.
+ON_RECURSION = None
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -28,156 +34,172 @@ def classify(text: np.ndarray) -> np.ndarray:
     return stype
 
 
-def _by_rank_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of integers; a shorter suffix comes before its extensions."""
-    n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    sorted_rank = rank[order]
-    new = np.ones(n, bool)
-    new[1:] = sorted_rank[1:] != sorted_rank[:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = start  # the rank is the first place of its group
-    single = new & np.append(new[1:], True)
-    open_at = np.flatnonzero(~single)
-    while len(open_at):
-        suffix = order[open_at]
-        after = suffix + step
-        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        group = start[open_at]
-        again = np.lexsort((key, group))
-        suffix, key, group = suffix[again], key[again], group[again]
-        order[open_at] = suffix
-        new = np.ones(len(open_at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(open_at)), 0))
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        offset = np.arange(len(open_at)) - np.repeat(head, np.diff(np.append(head, len(open_at))))
-        place = group + offset
-        start[open_at] = place[first]
-        rank[suffix] = place[first]
-        single = new & np.append(new[1:], True)
-        open_at = open_at[~single]
-        step *= 2
-    return order
-
-
-def _name_lms(text: np.ndarray, stype: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Names of the LMS substrings in their order: by (symbol, type) pairs, packed several to a word and compared word by word."""
-    m = len(lms)
-    ends = np.append(lms[1:], len(text) - 1)  # each reaches to the next LMS position, which belongs to it
-    length = ends - lms + 1
-    pairs = text.astype(np.uint64) * np.uint64(2) + stype.astype(np.uint64) + np.uint64(1)
-    bits = int(2 * sigma + 1).bit_length()
-    per = max(1, 64 // bits)
-
-    def word(which: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros(len(which), np.uint64)
-        base, size = lms[which], length[which]
-        for j in range(k * per, (k + 1) * per):
-            out = (out << np.uint64(bits)) | np.where(j < size, pairs[np.minimum(base + j, ends[which])], np.uint64(0))
-        return out
-
-    name = np.unique(word(np.arange(m), 0), return_inverse=True)[1].astype(np.int64)
-    k = 1
-    open_at = np.flatnonzero(length > per)
-    while len(open_at):
-        # only names shared by a substring that goes on can still split
-        words = np.zeros(m, np.uint64)
-        words[open_at] = word(open_at, k)
-        order = np.lexsort((words, name))
-        new = np.ones(m, bool)
-        new[1:] = (name[order][1:] != name[order][:-1]) | (words[order][1:] != words[order][:-1])
-        name = np.empty(m, np.int64)
-        name[order] = np.cumsum(new) - 1
-        k += 1
-        open_at = open_at[length[open_at] > k * per]
-        if len(open_at):
-            count = np.bincount(name, minlength=m)
-            open_at = open_at[count[name[open_at]] > 1]
-    return name
-
-
-def _scatter(out: np.ndarray, fill: np.ndarray, chars: np.ndarray, suffixes: np.ndarray, back: bool) -> None:
-    """Append suffixes, in the order given, to the front (or from the back) of their buckets' free part."""
-    order = np.argsort(chars, kind="stable")
-    c = chars[order]
-    head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-    size = np.diff(np.append(head, len(c)))
-    nth = np.arange(len(c)) - np.repeat(head, size)
-    out[fill[c] - nth if back else fill[c] + nth] = suffixes[order]
-    fill[c[head]] += -size if back else size
+def _batches(low: np.ndarray, high: np.ndarray, sigma: int) -> list[int]:
+    """Edges of batches of symbols, such that no pair low < high has both in one batch."""
+    # the nearest symbol that is reached from each one or a later one
+    reach = np.full(sigma + 1, sigma, np.int64)
+    apart = low < high
+    np.minimum.at(reach, low[apart], high[apart])
+    reach = np.minimum.accumulate(reach[::-1])[::-1].tolist()
+    edges = [0]
+    while edges[-1] < sigma:
+        edges.append(reach[edges[-1]])
+    return edges
 
 
-def _induce(text: np.ndarray, stype: np.ndarray, lms_sorted: np.ndarray, sigma: int) -> np.ndarray:
+def _append(out: np.ndarray, fill: np.ndarray, chars: np.ndarray, suffixes: np.ndarray, step: int) -> None:
+    """Puts suffixes, in the order given, at the next free places of their buckets, forwards or backwards."""
+    order = chars.argsort(kind="stable")
+    c = chars[order]
+    m = len(c)
+    new = np.empty(m, bool)
+    new[0] = True
+    np.not_equal(c[1:], c[:-1], out=new[1:])
+    head = new.nonzero()[0]
+    if len(head) == m:  # a bucket each
+        out[fill[c]] = suffixes[order]
+        fill[c] += step
+        return
+    size = np.empty(len(head), np.int64)
+    size[:-1] = head[1:] - head[:-1]
+    size[-1] = m - head[-1]
+    nth = np.arange(m) - head.repeat(size)
+    out[fill[c] + nth if step > 0 else fill[c] - nth] = suffixes[order]
+    fill[c[head]] += step * size
+
+
+def _runs(out: np.ndarray, fill: np.ndarray, text: np.ndarray, before: np.ndarray, some: np.ndarray, step: int) -> None:
+    """From the suffixes given, in bucket order, those before them in their runs of one symbol: all that are one place away, then two, and so on."""
+    size = before[some]
+    if not size.any():
+        return
+    own = np.repeat(np.arange(len(some)), size)
+    away = np.arange(1, len(own) + 1) - np.repeat(np.cumsum(size) - size, size)
+    order = away.argsort(kind="stable")
+    suffixes = some[own[order]] - away[order]
+    _append(out, fill, text[suffixes], suffixes, step)
+
+
+def _induce(text: np.ndarray, stype: np.ndarray, run: np.ndarray, lms: np.ndarray, edges: tuple[list[int], list[int]], count: np.ndarray) -> np.ndarray:
+    """All suffixes, from LMS places in an order that is right within each bucket."""
     n = len(text)
-    count = np.bincount(text, minlength=sigma)
     end = np.cumsum(count)
     begin = end - count
+    bounds = np.append(begin, n)
     out = np.full(n, -1, np.int64)
-    small = text.astype(np.uint8) if sigma <= 256 else text.astype(np.uint16)
-    lms_chars = small[lms_sorted]
-    cut = np.searchsorted(lms_chars, np.arange(sigma + 1))
-
+    ltype = ~stype
+    other = np.append(text[1:] != text[:-1], False)  # the next symbol is another one
+    sends = ltype & other
+    if len(lms):
+        # at the ends of their buckets
+        order = np.argsort(text[lms], kind="stable")
+        c = text[lms[order]]
+        mine = np.bincount(c, minlength=len(count))
+        out[np.arange(len(c)) - (np.cumsum(mine) - mine)[c] + end[c] - mine[c]] = lms[order]
     fill = begin.copy()
     # the end of the text induces its last suffix, which is L-type
-    _scatter(out, fill, small[n - 1 :], np.array([n - 1]), False)
-    for c in range(sigma):
-        if not count[c]:
+    out[fill[text[n - 1]]] = n - 1
+    fill[text[n - 1]] += 1
+    for a, b in zip(edges[0][:-1], edges[0][1:], strict=True):
+        lo, hi = bounds[a], bounds[b]
+        if lo == hi:
+            continue
+        part = out[lo:hi]
+        some = part[part >= 0]
+        if not len(some):
             continue
-        done = begin[c]
-        while done < fill[c]:
-            some = out[done : fill[c]]
-            done = fill[c]
-            before = some[some > 0] - 1
-            before = before[~stype[before]]
-            if len(before):
-                _scatter(out, fill, small[before], before, False)
-        some = lms_sorted[cut[c] : cut[c + 1]]
-        before = some[some > 0] - 1  # the suffix before an LMS one is L-type
+        some = some[ltype[some]]
+        if len(some) and run[some].any():
+            _runs(out, fill, text, run, some, 1)
+        some = part[part >= 0]
+        before = some[some > 0] - 1
+        before = before[sends[before]]
         if len(before):
-            _scatter(out, fill, small[before], before, False)
-    ltop = fill
-    fill = end - 1
-    for c in range(sigma - 1, -1, -1):
-        if not count[c]:
+            _append(out, fill, text[before], before, 1)
+    # the S-type ones come anew, from behind
+    tail = np.ones(n, bool)
+    size = fill - begin
+    tail[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)] = False
+    out[tail] = -1
+    fill, sends = end - 1, stype & other
+    for a, b in zip(edges[1][-2::-1], edges[1][:0:-1], strict=True):
+        lo, hi = bounds[a], bounds[b]
+        if lo == hi:
+            continue
+        part = out[lo:hi]
+        some = part[part >= 0][::-1]
+        if not len(some):
             continue
-        done = end[c] - 1
-        while done > fill[c]:
-            some = out[fill[c] + 1 : done + 1][::-1]
-            done = fill[c]
-            before = some[some > 0] - 1
-            before = before[stype[before]]
-            if len(before):
-                _scatter(out, fill, small[before], before, True)
-        some = out[begin[c] : ltop[c]][::-1]
+        some = some[stype[some]]
+        if len(some) and run[some].any():
+            _runs(out, fill, text, run, some, -1)
+        some = part[part >= 0][::-1]
         before = some[some > 0] - 1
-        before = before[stype[before]]
+        before = before[sends[before]]
         if len(before):
-            _scatter(out, fill, small[before], before, True)
+            _append(out, fill, text[before], before, -1)
     return out
 
 
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether so many symbols from a on equal those from b on."""
+    same, todo = np.ones(len(a), bool), np.flatnonzero(size > 0)
+    width = text.dtype.itemsize
+    per = 8 // width
+    words = np.ndarray((len(text) + 1,), np.uint64, np.concatenate([text, np.zeros(per + 1, text.dtype)]), strides=(width,))  # the symbols from any place on
+    done = 0
+    while len(todo):
+        left = size[todo] - done
+        diff = words[a[todo] + done] ^ words[b[todo] + done]
+        short = left < per
+        if short.any():
+            diff[short] &= (np.uint64(1) << (left[short] * 8 * width).astype(np.uint64)) - np.uint64(1)
+        same[todo[diff != 0]] = False
+        todo = todo[(diff == 0) & (left > per)]
+        done += per
+    return same
+
+
 def suffix_array(text: np.ndarray, sigma: int = 256) -> np.ndarray:
     """The suffixes of ``text`` (symbols below ``sigma``), smallest first."""
     n = len(text)
     if n < 2:
         return np.arange(n)
+    text = text.astype(np.uint8 if sigma <= 1 << 8 else np.uint16 if sigma <= 1 << 16 else np.uint32, copy=False)
+    count = np.bincount(text, minlength=sigma)
     stype = classify(text)
+    # how many of the same symbol stand right before each place
+    at = np.arange(n)
+    run = at - np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1]), at, 0))
+    # L-type suffixes come from smaller first symbols, S-type ones from larger
+    low, high = text[1:].astype(np.int64), text[:-1].astype(np.int64)
+    ltype = ~stype[:-1]
+    down = _batches(low[ltype], high[ltype], sigma)
+    up = [sigma - e for e in _batches(sigma - 1 - low[~ltype], sigma - 1 - high[~ltype], sigma)][::-1]
+    edges = (down, up)
     lms = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
-    if len(lms):
-        name = _name_lms(text, stype, lms, sigma)
-        names = int(name.max()) + 1
-        if names == len(lms):
-            order = np.empty(len(lms), np.int64)
-            order[name] = np.arange(len(lms))
-        elif names <= FEW_NAMES:
-            order = suffix_array(name, names)
-        else:
-            order = _by_rank_doubling(name)
-        lms = lms[order]
-    return _induce(text, stype, lms, sigma)
+    if not len(lms):
+        return _induce(text, stype, run, lms, edges, count)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    by_substring = _induce(text, stype, run, lms, edges, count)
+    by_substring = by_substring[is_lms[by_substring]]
+    ends = np.append(lms[1:], n - 1)  # each substring reaches to the next LMS place, which belongs to it
+    size = np.zeros(n, np.int64)
+    size[lms] = ends - lms + 1
+    size[lms[-1]] += 1  # and the last one to the end of the text, which no other holds
+    a, b = by_substring[:-1], by_substring[1:]
+    alike = size[a] == size[b]
+    alike[alike] = _same(text, a[alike], b[alike], size[a[alike]])
+    name = np.append(0, np.cumsum(~alike))
+    if name[-1] + 1 == len(lms):
+        return _induce(text, stype, run, by_substring, edges, count)
+    at = np.empty(n, np.int64)
+    at[by_substring] = name
+    if ON_RECURSION is not None:
+        ON_RECURSION(len(lms), int(name[-1]) + 1)
+    order = suffix_array(at[lms], int(name[-1]) + 1)
+    return _induce(text, stype, run, lms[order], edges, count)
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -13,13 +13,17 @@ Every window is anchored at its smallest hash of ``GRAM`` bytes, so equal window
    common prefixes (suffix_array.py): neighbours that share MIN_BYTES bytes are occurrences of one window, of
    which the first in corpus order stays.
 
-The number of shards follows the bytes of text; a shard works through blocks of anchors, so its memory is
-bounded.
+What many documents share reaches a shard once from every ``FLUSH_BYTES`` of text, not once from every document: an
+anchor that stands twice there is known to repeat, and of equal stretches there only the earliest is sorted, while the
+others are repeats all over, which only have to learn where the first stands. Replies to these go by shards of
+their own, dealt evenly. The number of shards follows the bytes of text; a shard sorts blocks of anchors, each
+block about ``SORT_BYTES`` long or as long as the distinct stretches of one anchor.
 
 Defined results: null texts, empty ones and those under MIN_BYTES bytes have no spans and stay as they are;
-rows equal in doc_id and text are one document (all of them are cut alike); a document may be cut down to an
-empty text and stays; spans are byte offsets, cut at the characters that lie wholly inside; an empty table
-gives an empty result; other columns are carried along and never read (n_chars, if there, follows the text).
+rows equal in doc_id and text are one document (all of them are cut alike); documents are told apart by 128 bits of hash; a
+document may be cut down to an empty text and stays; a very long text is worked through whole, by itself; spans are byte
+offsets, cut at the characters that lie wholly inside; an empty table gives an empty result; other columns are carried along
+and never read (n_chars, if there, follows the text).
 """
 
 from __future__ import annotations
@@ -99,29 +103,49 @@ def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
-ANCHORS = "shard int, hashes binary, uids binary, starts binary"
+ANCHORS = "shard int, hashes binary, ua binary, ub binary, starts binary"
+
+
+def _row_names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = _row_names(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if n == "shard" else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
 
 
 def _anchors(shards: int):
     def flush(parts: list) -> pa.RecordBatch:
-        hashes, uids, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows = [(s, _blob(hashes[o]), _blob(uids[o]), _blob(starts[o])) for s, o in _split((hashes % np.uint64(shards)).astype(np.int64))]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["shard", "hashes", "uids", "starts"])
+        hashes, ua, ub, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+        twice = ~new
+        twice[:-1] |= ~new[1:]
+        known, alone = order[twice], order[~twice]
+        # a repeated one goes on once, to tell others that it is, and needs no answer
+        marks = order[new & twice]
+        out = np.concatenate([alone, marks])
+        start = np.concatenate([starts[alone], np.full(len(marks), -1, np.int32)])
+        rows = [(s, *(_blob(x[out[o]]) for x in (hashes, ua, ub)), _blob(start[o])) for s, o in _split((hashes[out] % np.uint64(shards)).astype(np.int64))]
+        if len(known):
+            rows.append((-1 - int(ua[known[0]] % shards), b"", _blob(ua[known]), _blob(ub[known]), _blob(starts[known])))
+        return _record(rows, ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            data, offs = text_bytes(batch.column(1))
-            uid = batch.column(0).to_numpy()
+            data, offs = text_bytes(batch.column(2))
+            ua, ub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in row_chunks(offs, BLOCK):
                 start, _, hashes, places = window_anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 # one that stands at two places in its own run counts twice
                 again = np.where(places > 1, 2, 1)
                 start, hashes = np.repeat(start, again), np.repeat(hashes, again)
                 row = i + np.searchsorted(offs[i : j + 1] - offs[i], start, side="right") - 1
-                parts.append((hashes, uid[row], (start + offs[i] - offs[row]).astype(np.int32)))
+                parts.append((hashes, ua[row], ub[row], (start + offs[i] - offs[row]).astype(np.int32)))
                 held += int(offs[j] - offs[i])
                 if held >= FLUSH_BYTES:
                     yield flush(parts)
@@ -137,51 +161,77 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _repeated(key: tuple, group: pa.Table) -> pa.Table:
-    """Of one shard of anchors: the starts, by document, of those whose hash occurs twice."""
-    hashes, uids, starts = _joined(group["hashes"], np.uint64), _joined(group["uids"], np.int64), _joined(group["starts"], np.int32)
-    order = np.argsort(hashes)
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    some = order[twice]
-    some = some[np.argsort(uids[some], kind="stable")]
-    u, s = uids[some], starts[some]
-    head = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    """Of one shard of anchors: the starts, by document, of those whose hash occurs twice. Shards below 0 hold such only."""
+    ua, ub, starts = _joined(group["ua"], np.int64), _joined(group["ub"], np.int64), _joined(group["starts"], np.int32)
+    some = np.arange(len(ua))
+    if key[0].as_py() >= 0:
+        hashes = _joined(group["hashes"], np.uint64)
+        order = np.argsort(hashes)
+        h = hashes[order]
+        same = h[1:] == h[:-1]
+        twice = starts[order] < 0
+        twice[1:] |= same
+        twice[:-1] |= same
+        some = order[twice]
+        some = some[starts[some] >= 0]
+    some = some[np.lexsort((ub[some], ua[some]))]
+    u, v, s = ua[some], ub[some], starts[some]
+    head = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
     offsets = np.append(head, len(u)).astype(np.int64) * 4
     blobs = pa.Array.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_blob(s))])
-    return pa.table({"uid": pa.array(u[head]), "starts": blobs.cast(pa.binary())})
+    return pa.table({"ua": pa.array(u[head]), "ub": pa.array(v[head]), "starts": blobs.cast(pa.binary())})
 
 
-SEGMENTS = "shard int, bytes binary, lens binary, hashes binary, uids binary, ids binary, starts binary, words binary"
+#: Of stretches to sort, bytes and hashes, and in ``more`` whether others refer to them; of repeats all over, in ``more`` the words before their end and in ra, rb and rs the document and place of the stretch that they equal.
+SEGMENTS = "shard int, bytes binary, lens binary, hashes binary, ua binary, ub binary, ids binary, starts binary, words binary, more binary, ra binary, rb binary, rs binary"
 
 
-def _segments(shards: int):
-    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+def _inner_words(data: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running count of word starts strictly inside segments, so that ordinals hold at any of their places."""
+    space = space_mask(data)
+    begins = np.append(False, ~space[1:] & space[:-1]) if len(data) else np.zeros(0, bool)
+    begins[head[size > 0]] = False
+    return np.append(0, np.cumsum(begins))
+
 
+def _segments(shards: int):
     def flush(parts: list) -> pa.RecordBatch:
-        lens, hashes, uids, ids, starts, words = (np.concatenate([p[k] for p in parts]) for k in range(1, 7))
-        data = np.concatenate([p[0] for p in parts])
-        at = np.cumsum(lens) - lens
+        data, size, hashes, ua, ub, ids, starts, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.cumsum(size, dtype=np.int64) - size
+        raw, first = data.tobytes(), {}
+        order = np.lexsort((starts, ub, ua, ids))
+        like = np.empty(len(size), np.int64)
+        for k, i, n in zip(order.tolist(), at[order].tolist(), size[order].tolist(), strict=True):
+            like[k] = first.setdefault(raw[i : i + n], k)
+        own = like == np.arange(len(size))
+        equal = (ids == ids[like]) & (ua == ua[like]) & (ub == ub[like]) & (starts == starts[like])
+        later = np.flatnonzero(~own & ~equal)
+        referred = np.zeros(len(size), np.int32)
+        referred[like[later]] = 1
+        lead = np.flatnonzero(own)
         rows = []
-        for s, o in _split((hashes % np.uint64(shards)).astype(np.int64)):
-            size = lens[o].astype(np.int64)
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            rows.append((s, _blob(data[np.repeat(at[o], size) + inner]), _blob(lens[o]), _blob(hashes[o]), _blob(uids[o]), _blob(ids[o]), _blob(starts[o]), _blob(words[o])))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], names)
+        for s, part in _split((hashes[lead] % np.uint64(shards)).astype(np.int64)):
+            o = lead[part]
+            n = size[o].astype(np.int64)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows.append((s, _blob(data[np.repeat(at[o], n) + inner]), *(_blob(x[o]) for x in (size, hashes, ua, ub, ids, starts, words, referred)), b"", b"", b""))
+        if len(later):
+            count = _inner_words(data, at, size)
+            stop = (words[later] >> 1) + (words[later] & 1) + count[at[later] + size[later]] - count[at[later]]
+            o, to = later, like[later]
+            rows.append((-1 - int(ua[later[0]] % shards), b"", _blob(size[o]), b"", *(_blob(x[o]) for x in (ua, ub, ids, starts, words)), _blob(stop.astype(np.int32)), _blob(ua[to]), _blob(ub[to]), _blob(starts[to])))
+        return _record(rows, SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            data, offs = text_bytes(batch.column(2))
-            uid = batch.column(0).to_numpy()
-            ids = np.where(batch.column(1).is_valid().to_numpy(zero_copy_only=False), batch.column(1).fill_null(0).to_numpy(), np.iinfo(np.int64).max)
+            data, offs = text_bytes(batch.column(3))
+            ua, ub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids = np.where(batch.column(2).is_valid().to_numpy(zero_copy_only=False), batch.column(2).fill_null(0).to_numpy(), np.iinfo(np.int64).max)
             for i, j in row_chunks(offs, BLOCK):
                 part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 start, windows, hashes, _ = window_anchors(part, o)
-                wanted = [np.frombuffer(b"".join(x), np.int32) + o[k] for k, x in enumerate(batch.column(3).slice(i, j - i).to_pylist())]
+                wanted = [np.frombuffer(b"".join(x), np.int32) + o[k] for k, x in enumerate(batch.column(4).slice(i, j - i).to_pylist())]
                 good = np.isin(start, np.concatenate(wanted)) if wanted else np.zeros(len(start), bool)
                 start, windows, hashes = start[good], windows[good], hashes[good]
                 if not len(start):
@@ -196,7 +246,7 @@ def _segments(shards: int):
                 ordinal = (count[start] - count[o[row]]).astype(np.int64) * 2 + begins[start]
                 size = windows + MIN_BYTES - 1
                 inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                parts.append((part[np.repeat(start, size) + inner], size.astype(np.int32), hashes, uid[i + row], ids[i + row], (start - o[row]).astype(np.int32), ordinal.astype(np.int32)))
+                parts.append((part[np.repeat(start, size) + inner], size.astype(np.int32), hashes, ua[i + row], ub[i + row], ids[i + row], (start - o[row]).astype(np.int32), ordinal.astype(np.int32)))
                 held += int(size.sum())
                 if held >= FLUSH_BYTES:
                     yield flush(parts)
@@ -207,11 +257,12 @@ def _segments(shards: int):
     return run
 
 
-FOUND = "uid long, doc_id long, lo int, hi int, words_lo int, words_hi int, first_doc_id long, first_lo int"
+#: A repeat (origin false), or where the first window of the stretch at lo of a document stands first (origin true). A repeat without first_doc_id and first_lo has those of the stretch at rs of (ra, rb).
+FOUND = "ua long, ub long, doc_id long, lo int, hi int, words_lo int, words_hi int, first_doc_id long, first_lo int, ra long, rb long, rs int, origin boolean"
 
 
 def find_repeats(segments: list[bytes], owner: np.ndarray, base: np.ndarray, doc_rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(occurrence, from, to, first rank, first start) of the runs of repeated windows in occurrences ``owner`` of distinct ``segments``, which begin at ``base`` in the document of rank ``doc_rank``; from and to are windows of the segment."""
+    """(occurrence, from, to, first rank, first start), and of each segment's first window (first rank, first start): the runs of repeated windows in occurrences ``owner`` of distinct ``segments``, which begin at ``base`` in the document of rank ``doc_rank``; from and to are windows of the segment."""
     lens = np.array([len(s) for s in segments], np.int64)
     text = np.full(int((lens + 1).sum()), BREAK, np.uint8)
     at = np.cumsum(lens + 1) - lens - 1
@@ -252,37 +303,51 @@ def find_repeats(segments: list[bytes], owner: np.ndarray, base: np.ndarray, doc
     start = np.concatenate([np.zeros(len(later), np.int64), offset[lo]])
     stop = np.concatenate([windows[owner[later]], offset[hi - 1] + 1])
     origin = source[np.concatenate([begin[owner[later]], lo])] if len(occurrence) else np.zeros(0, np.int64)
-    return occurrence, start, stop, origin >> 32, origin & 0xFFFFFFFF
+    return occurrence, start, stop, origin >> 32, origin & 0xFFFFFFFF, source[begin] >> 32, source[begin] & 0xFFFFFFFF
+
+
+def _found(columns: list[np.ndarray]) -> pa.Table:
+    """A table of FOUND from its columns, in which the largest doc_id stands for none, and first_lo below 0 for no place."""
+    none, arrays = np.iinfo(np.int64).max, []
+    for text, x in zip(FOUND.split(", "), columns, strict=True):
+        name, kind = text.split()
+        if kind == "long":
+            arrays.append(pa.array(x, pa.int64(), mask=x == none if "doc_id" in name else None))
+        else:
+            arrays.append(pa.array(x.astype(bool)) if kind == "boolean" else pa.array(x, pa.int32(), mask=x < 0 if name == "first_lo" else None, safe=False))
+    return pa.table(arrays, _row_names(FOUND))
 
 
 def _sorted_shard(key: tuple, group: pa.Table) -> pa.Table:
-    lens, hashes = _joined(group["lens"], np.int32).astype(np.int64), _joined(group["hashes"], np.uint64)
-    uids, ids = _joined(group["uids"], np.int64), _joined(group["ids"], np.int64)
-    starts, words = _joined(group["starts"], np.int32).astype(np.int64), _joined(group["words"], np.int32).astype(np.int64)
+    lens = _joined(group["lens"], np.int32).astype(np.int64)
+    ua, ub, ids = (_joined(group[c], np.int64) for c in ("ua", "ub", "ids"))
+    starts, words, more = (_joined(group[c], np.int32).astype(np.int64) for c in ("starts", "words", "more"))
+    z = np.zeros(len(lens), np.int64)
+    if key[0].as_py() < 0:  # repeats all over
+        return _found([ua, ub, ids, starts, starts + lens, words >> 1, more, z + np.iinfo(np.int64).max, z - 1, _joined(group["ra"], np.int64), _joined(group["rb"], np.int64), _joined(group["rs"], np.int32), z])
+    hashes = _joined(group["hashes"], np.uint64)
     data = b"".join(group["bytes"].to_pylist())
     at = np.cumsum(lens) - lens
     order = np.argsort(hashes, kind="stable")
-    out: list[tuple[np.ndarray, ...]] = []
+    out: list[list[np.ndarray]] = []
 
     def finish(some: np.ndarray, owner: np.ndarray, segments: list[bytes]) -> None:
-        docs, rank = np.unique(np.stack([ids[some], uids[some]], 1), axis=0, return_inverse=True)
-        which, start, stop, first_rank, first_lo = find_repeats(segments, owner, starts[some], rank.reshape(-1))
+        docs, rank = np.unique(np.stack([ids[some], ua[some], ub[some]], 1), axis=0, return_inverse=True)
+        which, start, stop, first_rank, first_lo, origin_rank, origin_lo = find_repeats(segments, owner, starts[some], rank.reshape(-1))
+        asked = np.flatnonzero(more[some])
+        if len(asked):
+            row, n = some[asked], np.zeros(len(asked), np.int64)
+            out.append([ua[row], ub[row], ids[row], starts[row], n, n, n, docs[origin_rank[owner[asked]], 0], origin_lo[owner[asked]], n, n, n, n + 1])
         if not len(which):
             return
-        row = some[which]
+        row, n = some[which], np.zeros(len(which), np.int64)
         hi = stop + MIN_BYTES - 1
-        # word starts strictly inside the segment, so that ordinals hold at any of its places
-        flat = np.frombuffer(b"".join(segments), np.uint8)
         size = np.array([len(s) for s in segments], np.int64)
-        space = space_mask(flat)
-        begins = np.append(False, ~space[1:] & space[:-1]) if len(flat) else np.zeros(0, bool)
         head = np.cumsum(size) - size
-        begins[head] = False
-        count = np.append(0, np.cumsum(begins))
-        base = words[row] >> 1
-        own = words[row] & 1
+        count = _inner_words(np.frombuffer(b"".join(segments), np.uint8), head, size)
+        base, own = words[row] >> 1, words[row] & 1
         place = lambda x: base + np.where(x > 0, own + count[head[owner[which]] + x] - count[head[owner[which]]], 0)
-        out.append((uids[row], ids[row], starts[row] + start, starts[row] + hi, place(start), place(hi), docs[first_rank, 0], first_lo))
+        out.append([ua[row], ub[row], ids[row], starts[row] + start, starts[row] + hi, place(start), place(hi), docs[first_rank, 0], first_lo, n, n, n, n])
 
     segments: dict[bytes, int] = {}
     owner, some, held, i = [], [], 0, 0
@@ -302,42 +367,40 @@ def _sorted_shard(key: tuple, group: pa.Table) -> pa.Table:
             segments, owner, some, held = {}, [], [], 0
     if some:
         finish(np.array(some), np.array(owner), list(segments))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 8
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    arrays = []
-    for name, x in zip(names, columns, strict=True):
-        if name in ("doc_id", "first_doc_id"):
-            arrays.append(pa.array(x, pa.int64(), mask=x == np.iinfo(np.int64).max))
-        else:
-            arrays.append(pa.array(x, pa.int64() if name == "uid" else pa.int32(), safe=False))
-    return pa.table(arrays, names)
+    return _found([np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 13)
 
 
-def _uid() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _uids() -> list[Column]:
+    """Two hashes that name a document, 128 bits together."""
+    return [F.xxhash64("doc_id", "text").alias("ua"), F.xxhash64(F.lit(1), "text", "doc_id").alias("ub")]
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id, first_start, uid) of the spans that go; offsets are bytes, and the span's first window stands first at first_start of first_doc_id."""
-    rows = doc_columns(docs).filter(F.octet_length("text") >= MIN_BYTES).withColumn("uid", _uid())
+    rows = doc_columns(docs).filter(F.octet_length("text") >= MIN_BYTES).select("doc_id", "text", *_uids())
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     anchor_shards, shards = max(1, -(-total // ANCHOR_SHARD_BYTES)), max(1, -(-total // SHARD_BYTES))
-    anchors = rows.select("uid", "text").mapInArrow(_anchors(anchor_shards), ANCHORS)
-    starts = anchors.groupBy("shard").applyInArrow(_repeated, "uid long, starts binary")
-    wanted = starts.groupBy("uid").agg(F.collect_list("starts").alias("starts"))
-    segments = rows.join(wanted, "uid").select("uid", "doc_id", "text", "starts").mapInArrow(_segments(shards), SEGMENTS)
-    found = segments.groupBy("shard").applyInArrow(_sorted_shard, FOUND)
-
-    w = Window.partitionBy("uid").orderBy("lo", "hi")
+    anchors = rows.select("ua", "ub", "text").mapInArrow(_anchors(anchor_shards), ANCHORS)
+    starts = anchors.groupBy("shard").applyInArrow(_repeated, "ua long, ub long, starts binary")
+    wanted = starts.groupBy("ua", "ub").agg(F.collect_list("starts").alias("starts"))
+    segments = rows.join(wanted, ["ua", "ub"]).select("ua", "ub", "doc_id", "text", "starts").mapInArrow(_segments(shards), SEGMENTS)
+    # stored: repeats and origins are read from it
+    found = stored(segments.groupBy("shard").applyInArrow(_sorted_shard, FOUND))
+
+    w = Window.partitionBy("ua", "ub").orderBy("lo", "hi")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    merged = found.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("lo", "hi", "first_doc_id", "first_lo"))
-    spans = merged.groupBy("uid", "island").agg(
+    merged = found.filter("not origin").withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # all that begin at one place have the same first window
+    first = F.min(F.struct("lo", F.col("first_lo").isNull().alias("none"), "first_doc_id", "first_lo", "ra", "rb", "rs"))
+    spans = merged.groupBy("ua", "ub", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("lo").alias("start"), F.max("hi").alias("end"),
         (F.max("words_hi") - F.min("words_lo")).alias("n_words"), first.alias("first"),
     )
-    spans = spans.filter(F.col("n_words") >= min_words)
-    return spans.select("doc_id", "start", "end", "n_words", F.col("first.first_doc_id").alias("first_doc_id"), F.col("first.first_lo").alias("first_start"), "uid")
+    spans = spans.filter(F.col("n_words") >= min_words).select("*", "first.none", "first.first_doc_id", "first.first_lo", "first.ra", "first.rb", "first.rs")
+    origins = found.filter("origin").groupBy(F.col("ua").alias("ra"), F.col("ub").alias("rb"), F.col("lo").alias("rs")).agg(F.min(F.struct("first_doc_id", "first_lo")).alias("o"))
+    joined = spans.join(origins, ["ra", "rb", "rs"], "left")
+    pick = lambda c: F.when(F.col("none"), F.col(f"o.{c}")).otherwise(F.col(c))
+    return joined.select("doc_id", "start", "end", "n_words", pick("first_doc_id").alias("first_doc_id"), pick("first_lo").alias("first_start"), F.struct("ua", "ub").alias("uid"))
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -358,11 +421,11 @@ def _without(text: Column, spans: Column) -> Column:
 
 def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns and rows, with the texts less their repeated spans."""
-    uid, cut = fresh(docs, "pm_uid"), fresh(docs, "pm_spans")
-    spans = repeated_spans(docs, min_words).groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("start", "end")).alias(cut))
+    ua, ub, cut = fresh(docs, "pm_ua"), fresh(docs, "pm_ub"), fresh(docs, "pm_spans")
+    spans = repeated_spans(docs, min_words).groupBy(F.col("uid.ua").alias(ua), F.col("uid.ub").alias(ub)).agg(F.collect_list(F.struct("start", "end")).alias(cut))
     spans = bounded(stored(spans))
-    keyed = docs.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(spans, uid, "left")
+    a, b = (F.xxhash64(*x) for x in ((F.col("doc_id").cast("long"), F.col("text").cast("string")), (F.lit(1), F.col("text").cast("string"), F.col("doc_id").cast("long"))))
+    joined = docs.withColumns({ua: a, ub: b}).join(spans, [ua, ub], "left")
     text = F.when(F.col(cut).isNull(), F.col("text").cast("string")).otherwise(_without(F.col("text").cast("string"), F.col(cut))).cast(docs.schema["text"].dataType)
     made = {"text": text}
     if "n_chars" in docs.columns:

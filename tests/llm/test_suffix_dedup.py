@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import suffix_array as sa
@@ -12,10 +13,9 @@ def brute_order(text):
     return sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
-@pytest.mark.parametrize("few", [2, 1024])
-def test_suffix_array_and_prefixes_match_brute_force(monkeypatch, few):
-    monkeypatch.setattr(sa, "FEW_NAMES", few)
-    rng = np.random.default_rng(few)
+@pytest.mark.parametrize("seed", [2, 1024])
+def test_suffix_array_and_prefixes_match_brute_force(seed):
+    rng = np.random.default_rng(seed)
     for k in range(300):
         text = np.tile(rng.integers(0, rng.integers(1, 6), rng.integers(0, 50)).astype(np.uint8), 1 + k % 3)
         order = sa.suffix_array(text)
@@ -28,6 +28,30 @@ def test_suffix_array_and_prefixes_match_brute_force(monkeypatch, few):
             assert plcp[b] == n
 
 
+def test_prose_is_sorted_by_recursion_at_any_number_of_names(monkeypatch):
+    data = np.frombuffer("\xff".join(sample("sf0.01").text).encode("latin-1", "replace"), np.uint8)[: 2 << 20]
+    calls = []
+    monkeypatch.setattr(sa, "ON_RECURSION", lambda length, names: calls.append((length, names)))
+    order = sa.suffix_array(data)
+    assert len(calls) > 3 and calls[0][1] > 10_000 and all(b[0] < a[0] / 2 for a, b in zip(calls, calls[1:], strict=False))
+    plcp = sa.permuted_lcp(data, order)
+    assert (np.sort(order) == np.arange(len(data))).all()
+    # each suffix is larger than the one before it, right behind what they share
+    a, b = order[:-1], order[1:]
+    n = plcp[b]
+    end = np.append(data.astype(np.int16), -1)
+    assert (end[np.minimum(a + n, len(data))] < end[np.minimum(b + n, len(data))]).all()
+
+
+def test_long_runs_are_sorted():
+    text = np.concatenate([np.full(30_000, 5), [9], np.full(20_000, 5), [1], np.full(40_000, 7), [3]]).astype(np.uint8)
+    order = sa.suffix_array(text)
+    plcp = sa.permuted_lcp(text, order)
+    a, b = order[:-1], order[1:]
+    n, end = plcp[b], np.append(text.astype(np.int16), -1)
+    assert (np.sort(order) == np.arange(len(text))).all() and (end[np.minimum(a + n, len(text))] < end[np.minimum(b + n, len(text))]).all()
+
+
 def brute_spans(rows, size=sd.MIN_BYTES, words=sd.MIN_WORDS):
     """Every window of every document against all windows before it."""
     seen, out = {}, []
@@ -71,6 +95,23 @@ def test_periodic_and_overlapping_texts_match_brute_force(spark, monkeypatch):
     assert found(docs(spark, rows)) == brute_spans(rows)
 
 
+def test_a_passage_of_many_rows_is_sorted_once_a_flush(spark, monkeypatch):
+    passage = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, f"{k} {passage}") for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"ua": [k for k, _ in rows], "ub": [1] * len(rows), "doc_id": [k for k, _ in rows], "text": [t for _, t in rows], "starts": [[np.arange(len(t), dtype=np.int32).tobytes()] for _, t in rows]})
+    (made,) = sd._segments(1)(iter([batch]))
+    sent = {r["shard"]: r for r in made.to_pylist()}
+    held = sum(len(t) for _, t in rows)
+    assert len(sent[0]["bytes"]) < 3 * held / 100 + 3000 * 200 and len(sent[-1 - 1 % 1]["lens"]) > 4 * 2900
+    assert found(docs(spark, rows[:300])) == brute_spans(rows[:300])
+
+
+def test_small_flushes_change_nothing(spark, monkeypatch):
+    rows = [(int(i), t) for i, t in zip(*sample()[["doc_id", "text"]].values.T, strict=True)]
+    monkeypatch.setattr(sd, "FLUSH_BYTES", 5_000)
+    assert found(docs(spark, rows)) == brute_spans(rows)
+
+
 def test_small_blocks_change_nothing(spark, monkeypatch):
     rows = [(int(i), t) for i, t in zip(*sample()[["doc_id", "text"]].values.T, strict=True)]
     monkeypatch.setattr(sd, "SHARD_BYTES", 20_000)
