@@ -38,8 +38,7 @@ def _batches(low: np.ndarray, high: np.ndarray, sigma: int) -> list[int]:
     """Edges of batches of symbols, such that no pair low < high has both in one batch."""
     # the nearest symbol that is reached from each one or a later one
     reach = np.full(sigma + 1, sigma, np.int64)
-    apart = low < high
-    np.minimum.at(reach, low[apart], high[apart])
+    np.minimum.at(reach, low, high)
     reach = np.minimum.accumulate(reach[::-1])[::-1].tolist()
     edges = [0]
     while edges[-1] < sigma:
@@ -169,14 +168,19 @@ def suffix_array(text: np.ndarray, sigma: int = 256) -> np.ndarray:
     count = np.bincount(text, minlength=sigma)
     stype = classify(text)
     # how many of the same symbol stand right before each place
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     run = at - np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1]), at, 0))
+    del at
     # L-type suffixes come from smaller first symbols, S-type ones from larger
-    low, high = text[1:].astype(np.int64), text[:-1].astype(np.int64)
-    ltype = ~stype[:-1]
-    down = _batches(low[ltype], high[ltype], sigma)
-    up = [sigma - e for e in _batches(sigma - 1 - low[~ltype], sigma - 1 - high[~ltype], sigma)][::-1]
-    edges = (down, up)
+    apart = np.flatnonzero(text[1:] != text[:-1])
+    down = apart[~stype[apart]]
+    up = apart[stype[apart]]
+    back = sigma - 1
+    edges = (
+        _batches(text[down + 1].astype(np.int64), text[down].astype(np.int64), sigma),
+        [sigma - e for e in _batches(back - text[up + 1].astype(np.int64), back - text[up].astype(np.int64), sigma)][::-1],
+    )
+    del apart, down, up
     lms = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
     if not len(lms):
         return _induce(text, stype, run, lms, edges, count)
@@ -185,7 +189,7 @@ def suffix_array(text: np.ndarray, sigma: int = 256) -> np.ndarray:
     by_substring = _induce(text, stype, run, lms, edges, count)
     by_substring = by_substring[is_lms[by_substring]]
     ends = np.append(lms[1:], n - 1)  # each substring reaches to the next LMS place, which belongs to it
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, np.int32)
     size[lms] = ends - lms + 1
     size[lms[-1]] += 1  # and the last one to the end of the text, which no other holds
     a, b = by_substring[:-1], by_substring[1:]
@@ -194,8 +198,10 @@ def suffix_array(text: np.ndarray, sigma: int = 256) -> np.ndarray:
     name = np.append(0, np.cumsum(~alike))
     if name[-1] + 1 == len(lms):
         return _induce(text, stype, run, by_substring, edges, count)
-    at = np.empty(n, np.int64)
+    del size, is_lms, alike
+    at = np.empty(n, np.int32)
     at[by_substring] = name
+    del by_substring
     if ON_RECURSION is not None:
         ON_RECURSION(len(lms), int(name[-1]) + 1)
     order = suffix_array(at[lms], int(name[-1]) + 1)
