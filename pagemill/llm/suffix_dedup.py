@@ -17,7 +17,8 @@ What many documents share reaches a shard once from every ``FLUSH_BYTES`` of tex
 anchor that stands twice there is known to repeat, and of equal stretches there only the earliest is sorted, while the
 others are repeats all over, which only have to learn where the first stands. Replies to these go by shards of
 their own, dealt evenly. The number of shards follows the bytes of text; a shard sorts blocks of anchors, each
-block about ``SORT_BYTES`` long or as long as the distinct stretches of one anchor.
+about ``SORT_BYTES`` long. An anchor with more than ``HOT_BYTES`` of stretches, a phrase that stands in many contexts,
+is split: its windows are anchored anew by longer grams, at last by all of their bytes, where only equal windows meet.
 
 Defined results: null texts, empty ones and those under MIN_BYTES bytes have no spans and stay as they are;
 rows equal in doc_id and text are one document (all of them are cut alike); documents are told apart by 128 bits of hash; a
@@ -42,7 +43,8 @@ MIN_BYTES, MIN_WORDS, GRAM = 128, 50, 32
 BLOCK = 1 << 18
 ANCHOR_SHARD_BYTES, SHARD_BYTES = 32 << 20, 2 << 20
 FLUSH_BYTES = 32 << 20
-SORT_BYTES = 2 << 20
+SORT_BYTES, HOT_BYTES = 2 << 20, 4 << 20
+FINER = (64, MIN_BYTES)  # grams of hot anchors
 BREAK = 0xFF  # not in UTF-8
 
 
@@ -318,6 +320,38 @@ def _found(columns: list[np.ndarray]) -> pa.Table:
     return pa.table(arrays, _row_names(FOUND))
 
 
+def _resplit(gram: int, data: bytes, lens: np.ndarray, hashes: np.ndarray, *about: np.ndarray) -> tuple:
+    """The same stretches, those of hot anchors split into shorter ones by anchors of longer grams; ``about`` is ua, ub, ids, starts, words, more."""
+    _, name = np.unique(hashes, return_inverse=True)
+    held = np.bincount(name, lens) if len(lens) else np.zeros(0)
+    hot = held[name] > HOT_BYTES if len(lens) else np.zeros(0, bool)
+    if not hot.any():
+        return data, lens, hashes, *about
+    flat, at = np.frombuffer(data, np.uint8), np.cumsum(lens) - lens
+
+    def bytes_of(rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return flat[np.repeat(at[rows] + begin, size) + inner]
+
+    cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+    parts = [(bytes_of(cold, np.zeros(len(cold), np.int64), lens[cold]), lens[cold], hashes[cold], *(x[cold] for x in about))]
+    offsets = np.append(0, np.cumsum(lens[warm]))
+    for i, j in row_chunks(offsets, BLOCK):
+        rows = warm[i:j]
+        part, o = bytes_of(rows, np.zeros(len(rows), np.int64), lens[rows]), offsets[i : j + 1] - offsets[i]
+        start, windows, finer, _ = window_anchors(part, o, MIN_BYTES, gram)
+        row = np.searchsorted(o, start, side="right") - 1
+        begin, own = start - o[row], rows[row]
+        ua, ub, ids, starts, words, more = (x[own] for x in about)
+        count = _inner_words(part, o[:-1], np.diff(o))
+        before = (words >> 1) + np.where(begin > 0, (words & 1) + count[start] - count[o[row]], 0)
+        here = np.where(begin > 0, count[start + 1] - count[start], words & 1)
+        size = windows + MIN_BYTES - 1
+        parts.append((bytes_of(own, begin, size), size, finer, ua, ub, ids, starts + begin, before * 2 + here, np.where(begin > 0, 0, more)))
+    merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return merged[0].tobytes(), *merged[1:]
+
+
 def _sorted_shard(key: tuple, group: pa.Table) -> pa.Table:
     lens = _joined(group["lens"], np.int32).astype(np.int64)
     ua, ub, ids = (_joined(group[c], np.int64) for c in ("ua", "ub", "ids"))
@@ -327,6 +361,8 @@ def _sorted_shard(key: tuple, group: pa.Table) -> pa.Table:
         return _found([ua, ub, ids, starts, starts + lens, words >> 1, more, z + np.iinfo(np.int64).max, z - 1, _joined(group["ra"], np.int64), _joined(group["rb"], np.int64), _joined(group["rs"], np.int32), z])
     hashes = _joined(group["hashes"], np.uint64)
     data = b"".join(group["bytes"].to_pylist())
+    for gram in FINER:
+        data, lens, hashes, ua, ub, ids, starts, words, more = _resplit(gram, data, lens, hashes, ua, ub, ids, starts, words, more)
     at = np.cumsum(lens) - lens
     order = np.argsort(hashes, kind="stable")
     out: list[list[np.ndarray]] = []

@@ -106,6 +106,17 @@ def test_a_passage_of_many_rows_is_sorted_once_a_flush(spark, monkeypatch):
     assert found(docs(spark, rows[:300])) == brute_spans(rows[:300])
 
 
+@pytest.mark.parametrize("hot", [0, 2_000])
+def test_split_anchors_change_nothing(spark, monkeypatch, hot):
+    rows = [(int(i), t) for i, t in zip(*sample()[["doc_id", "text"]].values.T, strict=True)]
+    rng = np.random.default_rng(4)
+    phrase = "licensed under the terms of the licence that stands in the file of that name"
+    shared = [" ".join(rng.choice(list("abcdefg"), 3).tolist() * 30) for _ in range(3)]
+    rows += [(10_000 + k, f"{' '.join(map(str, rng.integers(0, 9999, 30)))} {shared[k % 3]} {phrase} {shared[k % 2]} {k}") for k in range(60)]
+    monkeypatch.setattr(sd, "HOT_BYTES", hot)
+    assert found(docs(spark, rows)) == brute_spans(rows)
+
+
 def test_small_flushes_change_nothing(spark, monkeypatch):
     rows = [(int(i), t) for i, t in zip(*sample()[["doc_id", "text"]].values.T, strict=True)]
     monkeypatch.setattr(sd, "FLUSH_BYTES", 5_000)
