@@ -39,7 +39,8 @@ def crawl(links: DataFrame, seed: str, params: CrawlParams = CrawlParams(), rule
     that robots rules (``ruled``, see operators.robots.rules) keep out, once for each time they were met.
     """
     spark = links.sparkSession
-    pages = stored(links.groupBy(urls.canonical("url").alias("url")).agg(F.min("links").alias("links")))
+    # sorted by url within its files, and narrow: a level that is small is broadcast to it at run time, a large one joined by merge
+    pages = stored(links.groupBy(urls.canonical("url").alias("url")).agg(F.min("links").alias("links")).sortWithinPartitions("url"))
     start = spark.createDataFrame([(seed,)], "raw string").select(urls.canonical("raw").alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("ord"))
     host = start.select(urls.host("url")).first()[0]
     skipped = spark.createDataFrame([], "url string, depth int, reason string")
@@ -53,7 +54,8 @@ def crawl(links: DataFrame, seed: str, params: CrawlParams = CrawlParams(), rule
         return decided.filter("allowed").select(found.columns)
 
     level = _ranked(admit(start), 0)
-    visited, count, depth = level, level.count(), 0
+    visited, depth = level, 0
+    count, top = level.agg(F.count(F.lit(1)), F.coalesce(F.max("rank"), F.lit(0))).first()
     while True:
         depth += 1
         room = params.max_pages - count if params.max_pages else None
@@ -69,12 +71,11 @@ def crawl(links: DataFrame, seed: str, params: CrawlParams = CrawlParams(), rule
         fresh = found.join(visited.select("url"), "url", "left_anti").groupBy("url").agg(F.min("depth").alias("depth"), F.min(F.struct("parent", "ord")).alias("at")).select("url", "depth", "at.parent", "at.ord")
         if room is not None:
             fresh = fresh.orderBy("parent", "ord").limit(room)
-        top = visited.agg(F.max("rank")).first()[0] or 0
         level = _ranked(fresh, top + 1)
-        new = level.count()
+        new, last = level.agg(F.count(F.lit(1)), F.max("rank")).first()
         if not new:
             break
-        count += new
+        count, top = count + new, last
         visited = visited.unionByName(level)
     return visited, skipped
 
