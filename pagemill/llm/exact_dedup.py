@@ -137,22 +137,30 @@ def lookup(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_lookup_shard, schema)
 
 
-def winners(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def winners(docs: DataFrame, history: DataFrame | None = None, inside: bool = False) -> DataFrame:
     """(digest, member, winner, again) of the digests that lose a row: those with a winner in the history, and repeated ones that aren't in it, which take their own smallest doc_id.
 
-    Without a history the table is its own: every digest is a member, and its winner is one of its rows.
+    Without a history the table is its own: every digest is a member, and its winner is one of its rows. With ``inside`` the
+    history is the part of the table with the smaller doc_ids, so a winner in it is one of the table's rows as well.
     """
     index, shards = build_index(docs if history is None else history)
     found = lookup(docs, index, shards).filter(F.col("member") | (F.col("n") > 1))
-    own = F.lit(history is not None) & F.col("member")
+    own = F.lit(history is not None and not inside) & F.col("member")
     return found.filter(own | (F.col("n") > 1)).select("digest", own.alias("member"), F.when(F.col("member"), F.col("winner")).otherwise(F.col("least")).alias("winner"), "again")
 
 
-def exact_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def exact_repeats(docs: DataFrame, history: DataFrame | None = None, inside: bool = False) -> DataFrame:
     """(doc_id, kept_doc_id, n_rows): n_rows rows of doc_id go because kept_doc_id has the same text."""
     each = _digests(docs).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     gone = F.when(~F.col("member") & F.col("doc_id").eqNullSafe(F.col("winner")), F.col("n") - 1).otherwise(F.col("n"))
-    return each.join(winners(docs, history), "digest").select("doc_id", F.col("winner").alias("kept_doc_id"), gone.alias("n_rows")).filter("n_rows > 0")
+    return each.join(winners(docs, history, inside), "digest").select("doc_id", F.col("winner").alias("kept_doc_id"), gone.alias("n_rows")).filter("n_rows > 0")
+
+
+def earlier_half(docs: DataFrame) -> DataFrame:
+    """The rows with the smaller doc_ids, up to the middle of their range: what an incremental run would have as history."""
+    id_ = F.col("doc_id").cast("long")
+    middle = docs.agg((F.min(id_) / 2 + F.max(id_) / 2).alias("x")).first()["x"]
+    return docs.filter(id_ <= F.lit(middle))
 
 
 def drop_exact_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:

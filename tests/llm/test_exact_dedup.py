@@ -70,3 +70,17 @@ def test_empty_tables(spark):
 def test_sample_against_brute_force(spark):
     rows = [(int(i), t) for i, t in zip(*sample()[["doc_id", "text"]].values.T, strict=True)]
     assert kept(ed.drop_exact_repeats(docs(spark, rows))) == brute(rows)
+
+
+def test_an_earlier_half_as_history_changes_nothing(spark):
+    rows = [(k, f"text {k % 7}") for k in range(20)] + [(20 + k, f"late {k % 3}") for k in range(9)] + [(3, "text 3"), (28, "late 2"), (None, "text 1"), (None, "only null"), (None, "only null"), (5, None), (6, "")]
+    df = docs(spark, rows)
+    half = ed.earlier_half(df)
+    assert 0 < half.count() < df.count()
+    key = lambda d: sorted(map(str, map(tuple, d.collect())))
+    want = key(ed.exact_repeats(df))
+    assert want and key(ed.exact_repeats(df, half, inside=True)) == want
+    index, shards = ed.build_index(half)
+    members = {r.member for r in ed.lookup(df, index, shards).collect()}
+    assert members == {True, False}
+    assert ed.exact_repeats(df.limit(0), ed.earlier_half(df.limit(0)), inside=True).isEmpty()
