@@ -283,12 +283,14 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK)
         return stored(both.mapInArrow(_verified(threshold), "a long, b long"))
 
     edges = verify(likely)
-    part = components(edges)
+    part = stored(components(edges))
     named = members.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).filter("low <> high").select("key", "node", "component")
     cross = mixed.join(signs, "node").groupBy("key").applyInArrow(_cross(threshold - slack), "a long, b long").distinct()
     more = verify(stored(cross.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")))
-    part = stored(components(edges.unionByName(more)))
+    # the components so far are stars already: with the new edges they are soon one again
+    stars = part.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    part = stored(components(stars.unionByName(more)))
 
     grouped = texts.select("node", "digest").join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     rows = each.join(grouped, "digest")
