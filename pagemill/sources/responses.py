@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators import events
 
-_ACCEPT = {"page": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "asset": "image/webp,image/apng,image/*,*/*;q=0.8"}
+#: What is preferred of each kind, with its weight below one.
+_PREFERRED = {
+    "page": {"text/html": None, "application/xhtml+xml": None, "application/xml": 9, "*/*": 8},
+    "asset": {f"image/{x}": None for x in ("webp", "apng", "*")} | {"*/*": 8},
+}
+
+
+def _weighed(kinds: dict[str, int | None]) -> str:
+    return ",".join(kind if tenths is None else f"{kind};q=0.{tenths}" for kind, tenths in kinds.items())
 
 
 def request_headers(agent: str, kind: str = "page") -> dict[str, str]:
     """The headers that a request for a page or an asset carries."""
-    return {"User-Agent": agent, "Accept": _ACCEPT[kind], "Accept-Language": "en-US,en;q=0.5", "DNT": "1", "Connection": "keep-alive"}
+    fixed = {"Connection": "keep-alive", "DNT": "1", "Accept-Language": _weighed({"en-US": None, "en": 5})}
+    return fixed | {"Accept": _weighed(_PREFERRED[kind]), "User-Agent": agent}
 
 
 def settled(attempts: DataFrame, max_attempt: int = 10, content_type: bool = True, jitter: Column | None = None) -> DataFrame:

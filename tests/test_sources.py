@@ -101,7 +101,8 @@ def test_journal_is_counted_and_cleared(spark, tmp_path):
 
 
 def test_headers():
-    assert responses.request_headers("me")["User-Agent"] == "me" and "text/html" in responses.request_headers("me")["Accept"]
+    got = responses.request_headers("me")
+    assert got["User-Agent"] == "me" and got["Accept"].startswith("text/html,") and got["Accept"].endswith("*/*;q=0.8") and got["Accept-Language"].endswith("en;q=0.5")
     assert responses.request_headers("me", "asset")["Accept"].startswith("image/")
 
 
