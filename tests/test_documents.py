@@ -314,7 +314,7 @@ START = f"<main><h1>T</h1><p>{LONG}</p>"
 def test_large_and_deep_pages_cost_little(html, stage):
     began = time.process_time()
     got = documents.document(html)
-    assert time.process_time() - began < 4  # seconds; what took a square of the nodes would need minutes
+    assert time.process_time() - began < 12  # seconds on a slow machine; what took a square of the nodes would need far more
     assert got["stage"] == stage
 
 
@@ -382,5 +382,5 @@ def test_formatting_that_never_ends_stays_bounded():
     html = START + "".join(f"<p><b id={k}>x" for k in range(3000))
     began = time.process_time()
     got = documents.document(html)
-    assert got["cause"] is None and time.process_time() - began < 4
+    assert got["cause"] is None and time.process_time() - began < 12
     assert markdown.to_markdown(body("<b><b>x <i>y</i></b></b>")) == "**x *y***"
