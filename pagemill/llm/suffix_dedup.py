@@ -42,7 +42,7 @@ from .suffix_array import permuted_lcp, suffix_array
 MIN_BYTES, MIN_WORDS, GRAM = 128, 50, 32
 BLOCK = 1 << 18
 ANCHOR_SHARD_BYTES, SHARD_BYTES = 32 << 20, 2 << 20
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
 SORT_BYTES, HOT_BYTES = 2 << 20, 4 << 20
 FINER = (64, MIN_BYTES)  # grams of hot anchors
 BREAK = 0xFF  # not in UTF-8
@@ -193,12 +193,12 @@ def _inner_words(data: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.nda
     space = space_mask(data)
     begins = np.append(False, ~space[1:] & space[:-1]) if len(data) else np.zeros(0, bool)
     begins[head[size > 0]] = False
-    return np.append(0, np.cumsum(begins))
+    return np.append(0, np.cumsum(begins, dtype=np.int32))
 
 
 def _segments(shards: int):
     def flush(parts: list) -> pa.RecordBatch:
-        data, size, hashes, ua, ub, ids, starts, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+        data, size, hashes, ua, ub, ids, starts, words, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
         at = np.cumsum(size, dtype=np.int64) - size
         raw, first = data.tobytes(), {}
         order = np.lexsort((starts, ub, ua, ids))
@@ -218,10 +218,8 @@ def _segments(shards: int):
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             rows.append((s, _blob(data[np.repeat(at[o], n) + inner]), *(_blob(x[o]) for x in (size, hashes, ua, ub, ids, starts, words, referred)), b"", b"", b""))
         if len(later):
-            count = _inner_words(data, at, size)
-            stop = (words[later] >> 1) + (words[later] & 1) + count[at[later] + size[later]] - count[at[later]]
             o, to = later, like[later]
-            rows.append((-1 - int(ua[later[0]] % shards), b"", _blob(size[o]), b"", *(_blob(x[o]) for x in (ua, ub, ids, starts, words)), _blob(stop.astype(np.int32)), _blob(ua[to]), _blob(ub[to]), _blob(starts[to])))
+            rows.append((-1 - int(ua[later[0]] % shards), b"", _blob(size[o]), b"", *(_blob(x[o]) for x in (ua, ub, ids, starts, words)), _blob(stop[o]), _blob(ua[to]), _blob(ub[to]), _blob(starts[to])))
         return _record(rows, SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +242,12 @@ def _segments(shards: int):
                 before[1:] = space[:-1]
                 before[o[:-1][np.diff(o) > 0]] = True
                 begins = ~space & before
-                count = np.cumsum(begins) - begins  # word starts before each byte
-                ordinal = (count[start] - count[o[row]]).astype(np.int64) * 2 + begins[start]
+                count = np.append(0, np.cumsum(begins))  # word starts before each byte
+                ordinal = (count[start] - count[o[row]]) * 2 + begins[start]
                 size = windows + MIN_BYTES - 1
+                stop = count[start + size] - count[o[row]]
                 inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                parts.append((part[np.repeat(start, size) + inner], size.astype(np.int32), hashes, ua[i + row], ub[i + row], ids[i + row], (start - o[row]).astype(np.int32), ordinal.astype(np.int32)))
+                parts.append((part[np.repeat(start, size) + inner], size.astype(np.int32), hashes, ua[i + row], ub[i + row], ids[i + row], (start - o[row]).astype(np.int32), ordinal.astype(np.int32), stop.astype(np.int32)))
                 held += int(size.sum())
                 if held >= FLUSH_BYTES:
                     yield flush(parts)
